@@ -13,10 +13,10 @@ sets' Jaccard similarity J.
    estimate of J from the registers is not five standard errors below; then both whole
    texts are compared exactly: 100 * intersection >= 75 * union.
 4. Links make components.  A bucket whose members are all in one component is settled.
-   In any other, the members outside the star's component meet a new least member; the
-   rest repeats, `stars` times at most.  What is still open then is compared across
-   components, pair by pair, so no link found by the bands is lost.  A pair that the
-   triangle inequality of 1 - J excludes is not compared.
+   In the others, while pairs across components far outnumber their members, the least
+   member outside the hub's component becomes a new hub, `stars` times at most.  What is
+   open then is compared across components, pair by pair, so that no link found by the
+   bands is lost; pairs that the triangle inequality of 1 - J excludes are left out.
 
 Defined results: null text or no words: empty set, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; a row without an id gets no component and
@@ -190,22 +190,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     buckets = scratch.write(bands.join(least, "key").select("key", "rep", "hub"))  # members of buckets that hold two or more
     storage.release(spark)
-    checked = links = labels = None
+    checked = labels = None
     for star in range(stars + 1):
+        last = False
         if star == 0:
             pairs = buckets.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
         else:
             open_rows = _open(buckets, labels, scratch)
-            if open_rows is None:
+            rows_left, across = _sizes(open_rows)
+            if not rows_left:
                 break
-            pairs = _next_star(open_rows) if star < stars else _across(open_rows, checked)
+            last = star == stars or across <= 8 * rows_left
+            pairs = _across(open_rows, checked) if last else _next_star(open_rows)
             pairs = pairs.distinct().join(checked, ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         new = _verified(pairs, reps, docs, scratch)
         storage.release(spark)
         checked = new if checked is None else checked.unionByName(new)
-        links = _linked(checked)
-        labels = components(links, scratch)
+        labels = components(_linked(checked), scratch)
         storage.release(spark)
+        if last:
+            break
     ids = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("label", "rep").alias("label"))
     # a document with an id but without words stands alone; rows that share an id share the least component
     out = rows.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
@@ -219,12 +223,18 @@ def _repeats(classes: DataFrame) -> bool:
     return not classes.groupBy("rep").count().where("count > 1").isEmpty()
 
 
-def _open(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Members (key, rep, hub, label) of the buckets that hold several components, or None."""
+def _open(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (key, rep, hub, label) of the buckets that hold several components."""
     named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "hub", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    rows = scratch.write(named.join(mixed, "key"))
-    return None if rows.isEmpty() else rows
+    return scratch.write(named.join(mixed, "key"))
+
+
+def _sizes(rows: DataFrame) -> tuple[int, float]:
+    """(members of open buckets, pairs of them that lie in different components)."""
+    by = rows.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    n, pairs = by.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
+    return int(n), pairs
 
 
 def _next_star(rows: DataFrame) -> DataFrame:

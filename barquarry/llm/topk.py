@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def usable(vec: Column) -> Column:
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of integers of `width` components; shorter rows end in zeros."""
-    size = np.asarray(pa.compute.list_value_length(column)) if len(column) else np.zeros(0, int)
+    size = np.asarray(pc.list_value_length(column)) if len(column) else np.zeros(0, int)
     out = np.zeros((len(column), width), np.int64)
     flat = np.asarray(column.flatten())
     out[np.arange(width)[None, :] < size[:, None]] = flat

@@ -1,8 +1,9 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after the other.  Each classifier is a logistic regression
-over hashed words (whole words and their letters only, lower case) plus the log odds that
-the earlier classifiers give.  For training, those earlier log odds come from models that
+over the words of a document (lower case, without signs at their ends) and their first 4, 5
+and 6 bytes, hashed, plus the log odds that the earlier classifiers give.  A feature counts
+with its log ratio between the classes, and only if that ratio is beyond chance.  For training, those earlier log odds come from models that
 did not see the row (out-of-fold, `folds` parts by a hash of the id), as the models' own
 training rows would make them look too sure.  For prediction the models fitted on all
 training rows are chained.
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from barquarry.llm import storage
 from barquarry.llm.words import _LOWER, mix, pieces, spans, words
 
-SAMPLE, FOLDS, BUCKETS = 12_000, 5, 1 << 18
+SAMPLE, FOLDS, BUCKETS = 8_000, 5, 1 << 18
+CHANCE = 5.0  # standard errors by which a feature's share of a class must differ
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct sorted feature buckets of all rows, where each row's begin, one more at the end)."""
+def features(column: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct sorted feature buckets of all rows, where each row's begin, one more at the end). used: buckets that count."""
     w = words(column, lower=True)
     # the word without signs at its ends
     letters = _LETTER[w.data]
@@ -41,17 +43,18 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low, high = np.searchsorted(at, w.start), np.searchsorted(at, w.end)
     some = high > low
     s, e = at[low[some]], at[high[some] - 1] + 1
-    bare = mix(spans(w.data, s, e, _LOWER) + (e - s).astype(np.uint64))
-    bucket = (bare >> np.uint64(64 - 18)).astype(np.int64)
-    both = np.unique(w.row[some] * BUCKETS + bucket)
+    row, found = [], []
+    for kind, n in enumerate((1 << 30, 4, 5, 6)):
+        cut = np.minimum(s + n, e)
+        whole = mix(spans(w.data, s, cut, _LOWER) + (cut - s + 64 * kind).astype(np.uint64))
+        bucket = (whole >> np.uint64(64 - 18)).astype(np.int64)
+        good = slice(None) if used is None else used[bucket]
+        row.append(w.row[some][good])
+        found.append(bucket[good])
+    both = np.unique(np.concatenate(row) * BUCKETS + np.concatenate(found))
     return both % BUCKETS, np.searchsorted(both, np.arange(len(w.first)) * BUCKETS)
 
 
-def _logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-4, 1 - 1e-4)
-    return np.log(p / (1 - p))
-
-
 class Linear:
     """Logistic regression over feature sets and a few dense columns, by Adagrad over all rows at once."""
 
@@ -62,27 +65,34 @@ class Linear:
         total = np.concatenate([[0.0], np.cumsum(self.weights[flat])])
         return total[begin[1:]] - total[begin[:-1]] + dense @ self.dense + self.bias
 
-    def fit(self, flat: np.ndarray, begin: np.ndarray, dense: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.5, shrink: float = 1e-5) -> Linear:
+    def fit(self, flat: np.ndarray, begin: np.ndarray, dense: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, shrink: float = 1e-4) -> Linear:
         if not len(y) or y.min() == y.max():
             self.bias = 20.0 if len(y) and y[0] else -20.0
             return self
         row = np.repeat(np.arange(len(y)), np.diff(begin))
-        # features that hardly any row has are left out: they would only name rows
-        common = np.bincount(flat, minlength=BUCKETS) >= 3
-        row, flat = row[common[flat]], flat[common[flat]]
+        n, yes = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, y[row], BUCKETS)
+        rate_all = y.mean()
+        ratio = np.log((yes + rate_all) / (yes.sum() + 1)) - np.log((n - yes + 1 - rate_all) / ((n - yes).sum() + 1))
+        beyond = np.abs(yes - n * rate_all) >= CHANCE * np.sqrt(np.maximum(n * rate_all * (1 - rate_all), 1e-9))
+        scale = np.where((n >= 4) & beyond, ratio, 0.0)  # the others would only name rows
+        used = scale[flat] != 0
+        row, flat = row[used], flat[used]
         begin = np.searchsorted(row, np.arange(len(y) + 1))
-        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+        weight = 1 / len(y)
         seen, seen_d, seen_b = np.full(BUCKETS, 1e-10), np.full(len(self.dense), 1e-10), 1e-10
+        own = np.zeros(BUCKETS)
         for _ in range(rounds):
+            self.weights = own * scale
             gap = (y - 1 / (1 + np.exp(-np.clip(self.odds(flat, begin, dense), -30, 30)))) * weight
-            g = np.bincount(flat, gap[row], BUCKETS) - shrink * self.weights
+            g = np.bincount(flat, gap[row], BUCKETS) * scale - shrink * own
             d, b = dense.T @ gap - shrink * self.dense, gap.sum()
             seen += g * g
             seen_d += d * d
             seen_b += b * b
-            self.weights += rate * g / np.sqrt(seen)
+            own += rate * g / np.sqrt(seen)
             self.dense += rate * d / np.sqrt(seen_d)
             self.bias += rate * b / np.sqrt(seen_b)
+        self.weights = own * scale
         return self
 
 
@@ -139,20 +149,27 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     some = some.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = texts.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = {r["doc_id"]: np.frombuffer(r["found"], "<i4").astype(np.int64) for r in texts.mapInArrow(_sampled, "doc_id long, found binary").toLocalIterator()}
+    found = {r["doc_id"]: np.frombuffer(r["found"], "<i4") for r in texts.mapInArrow(_sampled, "doc_id long, found binary").toLocalIterator()}
     rows = sorted((r for r in some.distinct().collect() if r["doc_id"] in found), key=lambda r: r["doc_id"])
     if not rows:
         return Chain(categories)
-    parts = [found[r["doc_id"]] for r in rows]
+    common = np.zeros(BUCKETS, np.int64)
+    for x in found.values():
+        common[x] += 1
+    parts = [(x := found[r["doc_id"]])[common[x] >= 4] for r in rows]  # rarer features are never used
     y = np.array([[np.nan if v is None else float(v > 0) for v in r[1:]] for r in rows], float).reshape(len(rows), -1)
     fold = (mix(np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
     return Chain(categories).fit(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y, fold)
 
 
 def _scores(chain: Chain):
+    used = np.zeros(BUCKETS, bool)
+    for model in chain.models:
+        used |= model.weights != 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            p = chain.predict(*features(piece.column("text")))
+            p = chain.predict(*features(piece.column("text"), used))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(p[:, k]) for k in range(p.shape[1])]], ["doc_id", *[f"p_{c}" for c in chain.categories]])
 
     return run

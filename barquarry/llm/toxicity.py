@@ -30,6 +30,7 @@ from barquarry.llm.words import _LOWER, mix, pieces, spans, words
 
 SAMPLE, FOLDS, BUCKETS = 8_000, 5, 1 << 18
 CHANCE = 5.0  # standard errors by which a feature's share of a class must differ
+SHARE = 0.0025  # of the training rows that a feature must be in
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -74,7 +75,7 @@ class Linear:
         rate_all = y.mean()
         ratio = np.log((yes + rate_all) / (yes.sum() + 1)) - np.log((n - yes + 1 - rate_all) / ((n - yes).sum() + 1))
         beyond = np.abs(yes - n * rate_all) >= CHANCE * np.sqrt(np.maximum(n * rate_all * (1 - rate_all), 1e-9))
-        scale = np.where((n >= 4) & beyond, ratio, 0.0)  # the others would only name rows
+        scale = np.where((n >= max(4, len(y) * SHARE)) & beyond, ratio, 0.0)  # the others would only name rows
         used = scale[flat] != 0
         row, flat = row[used], flat[used]
         begin = np.searchsorted(row, np.arange(len(y) + 1))

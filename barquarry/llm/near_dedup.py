@@ -8,15 +8,20 @@ sets' Jaccard similarity J.
 
 1. Equal sets fall into one class; its least id stands for it.  Copies cost no pairs.
 2. 40 bands of 4 registers: at J = 0.75 a pair shares no band with probability 2.5e-7.
-3. Each member of a bucket meets the bucket's least member only (a star, never all
-   pairs).  Such a pair goes on if sizes allow J >= 0.75 and the maximum-likelihood
-   estimate of J from the registers is not five standard errors below; then both whole
-   texts are compared exactly: 100 * intersection >= 75 * union.
-4. Links make components.  A bucket whose members are all in one component is settled.
-   In the others, while pairs across components far outnumber their members, the least
-   member outside the hub's component becomes a new hub, `stars` times at most.  What is
-   open then is compared across components, pair by pair, so that no link found by the
-   bands is lost; pairs that the triangle inequality of 1 - J excludes are left out.
+3. A bucket's hub is its most central member: the one with the most company in all its
+   buckets.  Every other member meets the hub only (a star, never all pairs), and whole
+   texts are compared exactly: 100 * intersection >= 75 * union is a link.
+4. Two members o and m of a bucket, o not linked with the hub h, can only be linked with
+   each other if (i) they share a shingle that h lacks, or (ii) they mostly left out the
+   same of h's shingles.  With a, c the numbers of h's shingles that o, m lack and b, e
+   those that they add, a link needs 7 * shared edits >= 3 (b + e) + 4 (a + c) - |h|; the
+   shared lacking ones are at most min(a, c).  So (i) the members that share an added
+   shingle make smaller buckets, which are treated in the same way, and (ii) pairs are
+   formed only where 3 (b + e) + 4 (a + c) - |h| <= 7 min(a, c).  Copies of one text with
+   random edits share hardly any edit: their refutation takes no pairs.
+5. What is open after `stars` such rounds, or is as few as the members themselves, is
+   compared pair by pair across components: the maximum-likelihood estimate of J from
+   the registers must not be five standard errors below 0.75, then whole texts decide.
 
 Defined results: null text or no words: empty set, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; a row without an id gets no component and
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquarry.llm import storage
@@ -134,43 +139,52 @@ def _screen(least: float):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(b, salt, a, text) sorted by b, salt, hub first (a null): the sizes of intersection and union of a and b."""
-    hub, own = None, None
-    for piece in pieces(batches, "text"):
-        hashes, begin = shingle_sets(words(piece.column("text"), lower=True))
-        out = []
-        for r, (b, a) in enumerate(zip(piece.column("b").to_pylist(), piece.column("a").to_pylist())):
-            x = hashes[begin[r] : begin[r + 1]]
-            if a is None:
-                hub, own = b, x.copy()
-            elif hub == b and len(x):
-                at = np.minimum(np.searchsorted(own, x), len(own) - 1)
-                both = int((own[at] == x).sum())
-                out.append((a, b, both, len(own) + len(x) - both))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "inter", "whole"])
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b), b the hub, that pass the screen, as a written table (a, b, inter, whole)."""
-    n = storage.partitions(docs.sparkSession)
+def _compare(with_added: bool):
+    """mapInArrow function over (b, salt, a, text) sorted by b, salt, hub first (a null): how a's set stands to b's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
+        for piece in pieces(batches, "text"):
+            hashes, begin = shingle_sets(words(piece.column("text"), lower=True))
+            out, added = [], []
+            for r, (b, a) in enumerate(zip(piece.column("b").to_pylist(), piece.column("a").to_pylist())):
+                x = hashes[begin[r] : begin[r + 1]]
+                if a is None:
+                    hub, own = b, x.copy()
+                elif hub == b and len(x) and len(own):
+                    same = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
+                    out.append((a, b, int(same.sum()), len(x), len(own)))
+                    added.append(x[~same].view(np.int64) if with_added else np.zeros(0, np.int64))
+            if out:
+                columns = [pa.array(c, pa.int64()) for c in zip(*out)] + [pa.array(added, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "inter", "na", "nb", "added"])
+
+    return run
+
+
+def _screened(pairs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sizes and registers allow a link."""
     one = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
     two = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
-    sized = pairs.join(one, "a").join(two, "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)")
+    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     error = (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
-    screened = scratch.write(sized.mapInArrow(_screen(PERCENT / 100 - 5 * error), "a long, b long"))
-    salts = screened.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
+    return scratch.write(sized.mapInArrow(_screen(PERCENT / 100 - 5 * error), "a long, b long"))
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, scratch: Scratch, with_added: bool) -> DataFrame:
+    """Written pairs (a, b), b the hub, as a written table (a, b, inter, na, nb, added, linked).
+
+    A hub's text travels once for every 512 of its members, which a salt deals out.
+    """
+    n = storage.partitions(docs.sparkSession)
+    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
     text = docs.select("doc_id", "text")
-    members = screened.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a")
+    members = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a")
     members = members.join(text, F.col("a") == F.col("doc_id")).select("b", "salt", "a", "text")
     hubs = salts.join(text, F.col("b") == F.col("doc_id")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
     rows = hubs.unionByName(members).repartition(n, "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return scratch.write(rows.mapInArrow(_compare, "a long, b long, inter long, whole long"))
-
-
-def _linked(checked: DataFrame) -> DataFrame:
-    return checked.where(f"100 * inter >= {PERCENT} * whole").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = rows.mapInArrow(_compare(with_added), "a long, b long, inter long, na long, nb long, added array<long>")
+    return scratch.write(out.withColumn("linked", F.expr(f"100 * inter >= {PERCENT} * (na + nb - inter)")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stars: int = 3) -> DataFrame:
@@ -187,29 +201,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {size} + 1, {size})))")
     bands = reps.select("rep", F.explode(keys).alias("key"))
 
-    least = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    buckets = scratch.write(bands.join(least, "key").select("key", "rep", "hub"))  # members of buckets that hold two or more
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = scratch.write(bands.join(shared, "key").select("key", "rep", "n"))  # members of buckets that hold two or more
     storage.release(spark)
-    checked = labels = None
+    checked = rest = labels = None
     for star in range(stars + 1):
-        last = False
-        if star == 0:
-            pairs = buckets.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        else:
-            open_rows = _open(buckets, labels, scratch)
-            rows_left, across = _sizes(open_rows)
-            if not rows_left:
-                break
-            last = star == stars or across <= 8 * rows_left
-            pairs = _across(open_rows, checked) if last else _next_star(open_rows)
-            pairs = pairs.distinct().join(checked, ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        new = _verified(pairs, reps, docs, scratch)
-        storage.release(spark)
+        stars_rows = scratch.write(_hubs(buckets))  # key, rep, hub
+        pairs = stars_rows.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        todo = pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        new = _compared(scratch.write(todo), docs, scratch, True)
         checked = new if checked is None else checked.unionByName(new)
-        labels = components(_linked(checked), scratch)
+        labels = components(_links(checked), scratch)
         storage.release(spark)
-        if last:
+        family = scratch.write(_families(pairs, checked, labels))
+        bare = _left_out(stars_rows, family)
+        rest = bare if rest is None else rest.unionByName(bare)
+        buckets = scratch.write(_sharing(family))
+        storage.release(spark)
+        members, across = _sizes(buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("label")))
+        if star == stars or across <= 8 * members:
             break
+    rest = rest.unionByName(_across(buckets, labels)).distinct()
+    for way in (("a", "b"), ("b", "a")):
+        rest = rest.join(checked.select(F.col("a").alias(way[0]), F.col("b").alias(way[1])), ["a", "b"], "left_anti")
+    screened = _screened(rest, reps, scratch)
+    if not screened.isEmpty():
+        links = _links(checked).unionByName(_links(_compared(screened, docs, scratch, False)))
+        labels = components(links, scratch)
+    storage.release(spark)
     ids = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("label", "rep").alias("label"))
     # a document with an id but without words stands alone; rows that share an id share the least component
     out = rows.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
@@ -223,32 +242,65 @@ def _repeats(classes: DataFrame) -> bool:
     return not classes.groupBy("rep").count().where("count > 1").isEmpty()
 
 
-def _open(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (key, rep, hub, label) of the buckets that hold several components."""
-    named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "hub", F.coalesce("label", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    return scratch.write(named.join(mixed, "key"))
+def _links(checked: DataFrame) -> DataFrame:
+    return checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _hubs(buckets: DataFrame) -> DataFrame:
+    """(key, rep, n) to (key, rep, hub): the member with the most company in all its buckets, the least of equals."""
+    company = buckets.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("company"))
+    best = buckets.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("best"))
+    return buckets.join(best.select("key", (-F.col("best.minus")).alias("hub")), "key").select("key", "rep", "hub")
+
+
+def _families(pairs: DataFrame, checked: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (hub, rep, label, linked, lacks, adds, whole, added) of hubs that some member is not linked with."""
+    all_of = pairs.join(checked, ["a", "b"])
+    some = all_of.where("not linked").select("b").distinct()
+    all_of = all_of.join(some, "b").join(labels, F.col("a") == F.col("node"), "left")
+    return all_of.select(F.col("b").alias("hub"), F.col("a").alias("rep"), F.coalesce("label", "a").alias("label"), "linked", (F.col("nb") - F.col("inter")).alias("lacks"), (F.col("na") - F.col("inter")).alias("adds"), F.col("nb").alias("whole"), "added")
+
+
+def _left_out(rows: DataFrame, family: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket that may be linked although they share no added shingle: both lack much of the hub's."""
+    own = family.select("hub", "rep", "label", "linked", "lacks", "adds", "whole")
+    own = own.withColumn("over", F.expr("4 * lacks + 3 * adds - whole")).withColumn("spare", F.expr("3 * (lacks - adds)"))
+    both = rows.join(own, ["hub", "rep"])
+    most = both.groupBy("key").agg(F.max("spare").alias("most")).where("most > 0")
+    # an unlinked member goes on only if some member of the bucket can make up for what it is over
+    outer = both.where("not linked").join(most, "key").where("over <= most").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("lacks").alias("xa"), F.col("over").alias("oa"))
+    inner = both.where("spare > 0").select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("lacks").alias("xb"), F.expr("4 * lacks + 3 * adds").alias("ob"))
+    return outer.join(inner, "key").where("a != b and la != lb and oa + ob <= 7 * least(xa, xb)").select("a", "b").distinct()
+
+
+def _sharing(family: DataFrame) -> DataFrame:
+    """(key, rep, n): the members that share an added shingle, where not all of them are linked with the hub.
+
+    A link needs an intersection of three quarters of either set, and at most whole - lacks of a member's shingles
+    are the hub's: so it shares at least (3 adds + lacks - whole) / 4 of its added shingles.  Two sets that share
+    that many share one among the rarest of each, all but the last that many less one (prefix filter); what many
+    members of a family have in common, such as a passage that the hub lacks, is at the far end of that order.
+    """
+    rows = family.select("hub", "rep", "linked", F.expr("adds - greatest(1, ceil((3 * adds + lacks - whole) / 4)) + 1").alias("prefix"), "adds", F.explode("added").alias("shingle"))
+    rows = rows.withColumn("key", F.xxhash64("hub", "shingle"))
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    rows = rows.join(often, "key")
+    own = Window.partitionBy("hub", "rep")
+    rows = rows.withColumn("at", F.row_number().over(own.orderBy("often", "shingle"))).withColumn("common", F.count(F.lit(1)).over(own))
+    rows = rows.where("at <= prefix - (adds - common)").select("key", "rep", "linked")  # those that occur once come first
+    kept = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all_linked")).where("n > 1 and not all_linked")
+    return rows.join(kept, "key").select("key", "rep", "n").distinct()
 
 
 def _sizes(rows: DataFrame) -> tuple[int, float]:
-    """(members of open buckets, pairs of them that lie in different components)."""
+    """(members of buckets, pairs of them that lie in different components)."""
     by = rows.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
     n, pairs = by.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
     return int(n), pairs
 
 
-def _next_star(rows: DataFrame) -> DataFrame:
-    """Each open bucket's least member outside its hub's component meets the members of other components."""
-    hub = rows.where("rep = hub").select("key", F.col("label").alias("hub_label"))
-    outside = rows.join(hub, "key").where("label != hub_label")
-    new = outside.groupBy("key").agg(F.min(F.struct("rep", "label")).alias("x")).select("key", F.col("x.rep").alias("b"), F.col("x.label").alias("b_label"))
-    return rows.join(new, "key").where("label != b_label").select(F.col("rep").alias("a"), "b")
-
-
-def _across(rows: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of different components in an open bucket, but those too far apart as seen from its hub."""
-    seen = checked.select("a", "b", (1 - F.col("inter") / F.col("whole")).alias("far"))
-    far = rows.join(seen, (F.col("rep") == F.col("a")) & (F.col("hub") == F.col("b")), "left").select("key", "rep", "label", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("far")).alias("far"))
-    other = far.select("key", F.col("rep").alias("b"), F.col("label").alias("b_label"), F.col("far").alias("b_far"))
-    close = F.coalesce(F.abs(F.col("far") - F.col("b_far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    return far.join(other, "key").where((F.col("rep") > F.col("b")) & (F.col("label") != F.col("b_label")) & close).select(F.col("rep").alias("a"), "b")
+def _across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's members that lie in different components."""
+    named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    other = named.select("key", F.col("rep").alias("b"), F.col("label").alias("b_label"))
+    return named.join(other, "key").where("rep > b and label != b_label").select(F.col("rep").alias("a"), "b").distinct()

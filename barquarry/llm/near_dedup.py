@@ -178,7 +178,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, scratch: Scratch, with_added: b
     """
     n = storage.partitions(docs.sparkSession)
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
-    text = docs.select("doc_id", "text")
+    text = docs.select("doc_id", "text").hint("merge")  # pairs grow with the input: never broadcast
     members = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a")
     members = members.join(text, F.col("a") == F.col("doc_id")).select("b", "salt", "a", "text")
     hubs = salts.join(text, F.col("b") == F.col("doc_id")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
@@ -274,22 +274,22 @@ def _left_out(rows: DataFrame, family: DataFrame) -> DataFrame:
 
 
 def _sharing(family: DataFrame) -> DataFrame:
-    """(key, rep, n): the members that share an added shingle, where not all of them are linked with the hub.
+    """(key, rep, n, lacks, adds, whole): the members that share an added shingle, where not all are linked with the hub.
 
     A link needs an intersection of three quarters of either set, and at most whole - lacks of a member's shingles
     are the hub's: so it shares at least (3 adds + lacks - whole) / 4 of its added shingles.  Two sets that share
     that many share one among the rarest of each, all but the last that many less one (prefix filter); what many
     members of a family have in common, such as a passage that the hub lacks, is at the far end of that order.
     """
-    rows = family.select("hub", "rep", "linked", F.expr("adds - greatest(1, ceil((3 * adds + lacks - whole) / 4)) + 1").alias("prefix"), "adds", F.explode("added").alias("shingle"))
+    rows = family.select("hub", "rep", "linked", F.expr("adds - greatest(1, ceil((3 * adds + lacks - whole) / 4)) + 1").alias("prefix"), "lacks", "adds", "whole", F.explode("added").alias("shingle"))
     rows = rows.withColumn("key", F.xxhash64("hub", "shingle"))
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     rows = rows.join(often, "key")
     own = Window.partitionBy("hub", "rep")
     rows = rows.withColumn("at", F.row_number().over(own.orderBy("often", "shingle"))).withColumn("common", F.count(F.lit(1)).over(own))
-    rows = rows.where("at <= prefix - (adds - common)").select("key", "rep", "linked")  # those that occur once come first
+    rows = rows.where("at <= prefix - (adds - common)").select("key", "rep", "linked", "lacks", "adds", "whole")  # those that occur once come first
     kept = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all_linked")).where("n > 1 and not all_linked")
-    return rows.join(kept, "key").select("key", "rep", "n").distinct()
+    return rows.join(kept, "key").select("key", "rep", "n", "lacks", "adds", "whole").distinct()
 
 
 def _sizes(rows: DataFrame) -> tuple[int, float]:
@@ -300,7 +300,10 @@ def _sizes(rows: DataFrame) -> tuple[int, float]:
 
 
 def _across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members that lie in different components."""
-    named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    other = named.select("key", F.col("rep").alias("b"), F.col("label").alias("b_label"))
-    return named.join(other, "key").where("rep > b and label != b_label").select(F.col("rep").alias("a"), "b").distinct()
+    """Pairs (a, b) of a bucket's members that lie in different components, if their sizes and edits allow a link."""
+    named = buckets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("size", F.expr("whole - lacks + adds"))
+    named = named.select("key", F.col("rep").alias("a"), F.coalesce("label", "rep").alias("la"), F.col("lacks").alias("xa"), F.col("adds").alias("ya"), F.col("size").alias("na"), "whole")
+    other = named.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("xa").alias("xb"), F.col("ya").alias("yb"), F.col("na").alias("nb"))
+    sizes = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+    edits = "3 * (ya + yb) + 4 * (xa + xb) - whole <= 7 * (least(xa, xb) + least(ya, yb))"
+    return named.join(other, "key").where(f"a > b and la != lb and {sizes} and {edits}").select("a", "b").distinct()

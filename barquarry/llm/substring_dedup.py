@@ -279,6 +279,7 @@ class FingerprintIndex:
         self.spark, self.path, self.window, self.fanout = spark, path, window, fanout
         self.shards = shards or max(4, storage.partitions(spark))
         self.runs: list[str] = []
+        self.made = 0
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
         """Judge a batch, whose ids are larger than all earlier ones or not, against the index and itself.
@@ -291,7 +292,8 @@ class FingerprintIndex:
         keyed = _keyed(docs, id_col, text_col)
         new = keyed.select("doc_id", "key", "text").mapInArrow(cut_runs(self.shards, self.window), RUN)
         if self.path:
-            at = f"{self.path}/run-{len(self.runs):06d}"
+            self.made += 1
+            at = f"{self.path}/run-{self.made:06d}"
             new.write.parquet(at)
             new = self.spark.read.schema(new.schema).parquet(at)
         known = new
@@ -306,7 +308,7 @@ class FingerprintIndex:
 
     def _compact(self) -> None:
         """Replace all runs by one that holds the earliest owner of each fingerprint."""
-        at = f"{self.path}/compact-{len(self.runs):06d}-{abs(hash(tuple(self.runs))):x}"
+        at = f"{self.path}/compact-{self.made:06d}"
         runs = None
         for run in self.runs:
             one = self.spark.read.parquet(run).where(F.col("kind") == _RUN)

@@ -249,7 +249,7 @@ days AS (SELECT ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FRO
 q AS (SELECT *, count(*) OVER (PARTITION BY ts) AS k FROM w WHERE ts IN (SELECT ts FROM days) AND mom IS NOT NULL AND mom_long IS NOT NULL AND vol IS NOT NULL AND trend IS NOT NULL AND forward IS NOT NULL),
 panel AS (SELECT ts, symbol, {', '.join(f'(rank() OVER (PARTITION BY ts ORDER BY {x}) + (count(*) OVER (PARTITION BY ts, {x}) - 1) / 2.0::DOUBLE - 1) / (k - 1) - 0.5 AS r_{x}' for x in ('mom', 'mom_long', 'vol', 'trend'))}, forward FROM q WHERE k >= 5)"""
 RANKS = ("r_mom", "r_mom_long", "r_vol", "r_trend")
-register("l09_panel", lambda s, d: rounded(labels.panel(daily(s, d)), *RANKS, "forward"), f"WITH {BARS}, {PANEL} SELECT ts, symbol, {', '.join(f'round({x}, 6) AS {x}' for x in (*RANKS, 'forward'))} FROM panel")
+register("l09_panel", lambda s, d: rounded(labels.panel(daily(s, d)), *RANKS, "forward", places=9), f"WITH {BARS}, {PANEL} SELECT ts, symbol, {', '.join(f"round({x}, 9) AS {x}" for x in (*RANKS, "forward"))} FROM panel")
 
 # validation
 

@@ -165,11 +165,11 @@ register("p06_value_area", lambda s, d: profile.value_area(_hist(s, d)[2]),
 
 def _flagged(s: SparkSession, d: str) -> DataFrame:
     h = _hist(s, d)[2]
-    return rounded(profile.flagged(h, profile.value_area(h)), "price", "volume", "volume_pct", places=4)
+    return rounded(rounded(profile.flagged(h, profile.value_area(h)), "volume", "volume_pct", places=4), "price")
 
 
 register("p10_profile_table", _flagged,
-         f"WITH RECURSIVE {SHAPE}, {AREA} SELECT symbol, bin, round(price, 4) AS price, round(volume, 4) AS volume, round(volume / list_sum(v), 4) AS volume_pct, bin BETWEEN val_bin AND vah_bin AS in_value_area, bin = poc_bin AS is_poc FROM hist JOIN area USING (symbol) JOIN poc USING (symbol) JOIN v USING (symbol)")
+         f"WITH RECURSIVE {SHAPE}, {AREA} SELECT symbol, bin, round(price, 6) AS price, round(volume, 4) AS volume, round(volume / list_sum(v), 4) AS volume_pct, bin BETWEEN val_bin AND vah_bin AS in_value_area, bin = poc_bin AS is_poc FROM hist JOIN area USING (symbol) JOIN poc USING (symbol) JOIN v USING (symbol)")
 register("t04_moments", lambda s, d: rounded(profile.moments(_hist(s, d)[2]), "mean", "sd", "skew", "kurtosis", places=4),
          f"WITH {SHAPE}, m AS (SELECT symbol, sum(volume * price) / sum(volume) AS mean FROM hist GROUP BY symbol), k AS (SELECT symbol, any_value(mean) AS mean, sum(volume * (price - mean)^2) / sum(volume) AS m2, sum(volume * (price - mean)^3) / sum(volume) AS m3, sum(volume * (price - mean)^4) / sum(volume) AS m4 FROM hist JOIN m USING (symbol) GROUP BY symbol) SELECT symbol, round(mean, 4) AS mean, round(sqrt(m2), 4) AS sd, round(m3 / sqrt(m2)^3, 4) AS skew, round(m4 / m2^2, 4) AS kurtosis FROM k")
 register("t09_ledges", lambda s, d: rounded(profile.ledges(_hist(s, d)[2], 2.0), "jump", places=4),
@@ -274,8 +274,8 @@ def _members(s: SparkSession, d: str) -> DataFrame:
 register("v01_cpcv_roles", lambda s, d: _members(s, d).select("symbol", "row_no", "split", "role"), f"WITH {BARS}, {CPCV} SELECT symbol, row_no, split::INTEGER AS split, role FROM mem")
 register("v06_single_factor_ic", lambda s, d: rounded(validation.single_factor_ic(_members(s, d), "x", "y"), "ic"),
          f"WITH {BARS}, {CPCV} SELECT symbol, split::INTEGER AS split, count(*) FILTER (role = 'test') AS n_test, round(sign(covar_pop(y, x) FILTER (role = 'train')) * corr(y, x) FILTER (role = 'test'), 6) AS ic FROM mem GROUP BY 1, 2")
-register("v13_rank_ic", lambda s, d: rounded(validation.rank_ic(labels.panel(daily(s, d)), "r_mom"), "ic"),
-         f"WITH {BARS}, {PANEL}, r AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY forward) + (count(*) OVER (PARTITION BY ts, forward) - 1) / 2.0 AS ry FROM panel) SELECT ts, count(*) AS n, round(corr(r_mom, ry), 6) AS ic FROM r GROUP BY ts")
+register("v13_rank_ic", lambda s, d: rounded(validation.rank_ic(labels.panel(daily(s, d)), "r_mom"), "ic").withColumn("ic", c("ic") + 0.0),
+         f"WITH {BARS}, {PANEL}, r AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY forward) + (count(*) OVER (PARTITION BY ts, forward) - 1) / 2.0 AS ry FROM panel) SELECT ts, count(*) AS n, round(corr(r_mom, ry), 6) + 0::DOUBLE AS ic FROM r GROUP BY ts")
 register("v10_auc", lambda s, d: rounded(validation.auc(_samples(s, d).withColumn("hit", (c("y") > 0).cast("int")), "symbol", "x", "hit"), "auc"),
          f"WITH {BARS}, {SAMPLES}, r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2.0::DOUBLE AS r FROM sm) SELECT symbol, count(*) FILTER (y > 0) AS pos, count(*) FILTER (y <= 0) AS neg, round((sum(r) FILTER (y > 0) - count(*) FILTER (y > 0) * (count(*) FILTER (y > 0) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y > 0) * count(*) FILTER (y <= 0)), 6) AS auc FROM r GROUP BY symbol")
 register("v07_bucket_returns", lambda s, d: rounded(validation.bucket_returns(_samples(s, d), "x", "y"), "mean"),

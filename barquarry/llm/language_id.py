@@ -35,6 +35,8 @@ from barquarry.llm.words import _LOWER, Words, mix, pieces, spans, words
 PER_LANGUAGE = 400  # training rows of a language: the documented bound
 BUCKETS = 1 << 18
 BLOCK = 64
+SLAB = 1 << 15  # distinct words whose n-grams are summed at a time
+CHUNK = 32_768  # training words worked on at a time; a sequence is cut wherever a chunk ends
 _CLASS = np.zeros(256, bool)  # bytes of letters: ASCII letters and all of other scripts
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -72,10 +74,15 @@ class Features:
         out = weights[self.fixed[:, 0]]
         for k in range(1, self.fixed.shape[1]):
             out = out + weights[self.fixed[:, k]]
-        total = np.zeros((len(self.gram) + 1, weights.shape[1]))
-        np.cumsum(weights[self.gram], axis=0, out=total[1:])
         end = np.cumsum(self.count)
-        out = out + total[end] - total[end - self.count]
+        begin = end - self.count
+        for a in range(0, len(end), SLAB):
+            own = slice(a, a + SLAB)
+            at = begin[a]
+            grams = self.gram[at : end[own][-1]]
+            total = np.zeros((len(grams) + 1, weights.shape[1]))
+            np.cumsum(weights[grams], axis=0, out=total[1:])
+            out[own] = out[own] + total[end[own] - at] - total[begin[own] - at]
         return out * self.lettered[:, None]
 
     def gradient(self, change: np.ndarray) -> np.ndarray:
@@ -172,31 +179,50 @@ class Model:
 
     def fit(self, texts: list[str], langs: list[str], rounds: int = 25, rate: float = 0.3, shrink: float = 1e-4, seed: int = 5) -> Model:
         """Penalised likelihood of labelled and spliced sequences, by Adagrad over all words at once."""
-        w = words(pa.array(texts, pa.string()))
-        features = Features(w)
+        features, inverse, count = _vocabulary(texts)
         number = {x: i for i, x in enumerate(self.labels)}
-        lang = np.array([number[x] for x in langs])
-        order, first = _spliced(w.first, lang, np.random.default_rng(seed))
-        word, gold = features.inverse[order], lang[w.row[order]]
-        one = np.eye(len(self.labels))[gold]
+        lang = np.array([number[x] for x in langs], np.int32)
+        order, first = _spliced(np.concatenate([[0], np.cumsum(count)]), lang, np.random.default_rng(seed))
+        first = np.union1d(first, np.arange(0, len(order), CHUNK))
+        word, gold = inverse[order], np.repeat(lang, count)[order]
         inner = np.ones(len(order), bool)
-        inner[first[:-1][np.diff(first) > 0]] = False
+        inner[first[:-1]] = False
         at = np.flatnonzero(inner)
         pairs = np.bincount(gold[at - 1] * len(self.labels) + gold[at], minlength=len(self.labels) ** 2).reshape(self.transitions.shape)
+        del order, inner, at
         seen, seen_t = np.full(self.weights.shape, 1e-8), np.full(self.transitions.shape, 1e-8)
-        n = max(1, len(order))
+        n = max(1, len(word))
         for _ in range(rounds):
-            post, expected = marginals(features.emissions(self.weights)[word], first, self.transitions)
-            change = np.stack([np.bincount(word, (one - post)[:, k], len(features.fixed)) for k in range(len(self.labels))], 1)
-            g = features.gradient(change) / n - shrink / n * self.weights
+            change, expected = self._missing(features, word, gold, first)
+            g = features.gradient(change)
+            g -= shrink * self.weights
+            g /= n
             t = (pairs - expected + 1 / len(self.labels)) / n - shrink * self.transitions
             seen += g * g
             seen_t += t * t
-            self.weights += rate * g / np.sqrt(seen)
+            g /= np.sqrt(seen)
+            g *= rate
+            self.weights += g
             self.transitions += rate * t / np.sqrt(seen_t)
         self.weights = self.weights.astype(np.float32)
         return self
 
+    def _missing(self, features: Features, word: np.ndarray, gold: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(by distinct word and label: its labels less the expected ones, expected transitions), about CHUNK words at a time."""
+        labels = len(self.labels)
+        scores = features.emissions(self.weights)
+        change, expected = np.zeros((len(features.fixed), labels)), np.zeros((labels, labels))
+        at = 0
+        while at < len(first) - 1:
+            to = max(at + 1, int(np.searchsorted(first, first[at] + CHUNK, "right")) - 1)
+            own = slice(first[at], first[to])
+            post, some = marginals(scores[word[own]], first[at : to + 1] - first[at], self.transitions)
+            expected += some
+            for k in range(labels):
+                change[:, k] += np.bincount(word[own], (gold[own] == k) - post[:, k], len(change))
+            at = to
+        return change, expected
+
     def label(self, column: pa.Array) -> tuple[np.ndarray, Words, Features]:
         """(label probabilities of every word, the words, their features)."""
         w = words(column)
@@ -205,6 +231,31 @@ class Model:
         return post, w, features
 
 
+def _vocabulary(texts: list[str]) -> tuple[Features, np.ndarray, np.ndarray]:
+    """(features of the distinct words of all texts, number of each word in order, words of each text), a few texts at a time."""
+    known: dict[int, int] = {}
+    surfaces: list[bytes] = []
+    inverse, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(texts), 16):
+        w = words(pa.array(texts[at : at + 16], pa.string()))
+        lowered = spans(w.data, w.start, w.end, _LOWER) + (w.end - w.start).astype(np.uint64)
+        keys, first, back = np.unique(lowered, return_index=True, return_inverse=True)
+        number = np.empty(len(keys), np.int32)
+        for j in np.argsort(first).tolist():
+            key = int(keys[j])
+            if key not in known:
+                known[key] = len(surfaces)
+                surfaces.append(w.data[w.start[first[j]] : w.end[first[j]]].tobytes())
+            number[j] = known[key]
+        inverse.append(number[back])
+        counts.append(np.diff(w.first))
+    del known
+    joined = b" ".join(surfaces).decode("utf-8", "replace")
+    del surfaces
+    features = Features(words(pa.array([joined], pa.string())))
+    return features, np.concatenate(inverse), np.concatenate(counts)
+
+
 def _spliced(first: np.ndarray, lang: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Training sequences as (word numbers in order, where sequences begin): even rows as they are, odd rows
     in passages of 8 to 60 words taken in turn with the next odd row of another language."""

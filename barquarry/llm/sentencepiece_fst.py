@@ -185,33 +185,35 @@ class Transducer:
         The piece `size` stands for a character without a piece.
         """
         n, length = codes.shape
-        h = np.zeros((n, length + 1), np.uint64)
+        h = np.zeros((length + 1, n), np.uint64)  # by position, then chunk
         for i in range(length):
-            h[:, i + 1] = h[:, i] * _B + (codes[:, i].astype(np.uint64) + np.uint64(1))
-        last, step = np.full((n, length + 1), NONE), np.zeros((n, length + 1), np.int64)
-        cost = np.full((n, length + 1), np.inf)
-        last[:, 0], cost[:, 0] = START, 0
+            h[i + 1] = h[i] * _B + (codes[:, i].astype(np.uint64) + np.uint64(1))
+        last, step = np.full((length + 1, n), NONE), np.zeros((length + 1, n), np.int64)
+        cost = np.full((length + 1, n), np.inf)
+        last[0], cost[0] = START, 0
+        reached = [np.arange(n)]  # chunks with a path to each position
         worst = self.scores.min() - 10
         for i in range(1, length + 1):
             for size in range(1, min(i, self.longest) + 1):
                 j = i - size
-                rows = np.flatnonzero(last[:, j] != NONE)
-                piece = self.find(h[rows, i] - h[rows, j] * self.powers[size])
+                rows = reached[j]
+                piece = self.find(h[i][rows] - h[j][rows] * self.powers[size])
                 if size == 1:
                     piece = np.where(piece == NONE, self.size, piece)
                 rows, piece = rows[piece >= 0], piece[piece >= 0]
                 if self.kind == BPE:
-                    ask = (last[rows, j] >= 0) & (last[rows, j] < self.size) & (piece < self.size)
+                    ask = (last[j, rows] >= 0) & (last[j, rows] < self.size) & (piece < self.size)
                     good = np.ones(len(rows), bool)
-                    good[ask] = self.apart_pair(last[rows[ask], j], piece[ask])
+                    good[ask] = self.apart_pair(last[j, rows[ask]], piece[ask])
                     rows, piece = rows[good], piece[good]
-                    last[rows, i], step[rows, i] = piece, size
+                    last[i, rows], step[i, rows] = piece, size
                 else:
-                    weight = cost[rows, j] - np.where(piece < self.size, self.scores[np.minimum(piece, self.size - 1)], worst)
-                    better = weight < cost[rows, i]
+                    weight = cost[j, rows] - np.where(piece < self.size, self.scores[np.minimum(piece, self.size - 1)], worst)
+                    better = weight < cost[i, rows]
                     rows, piece = rows[better], piece[better]
-                    cost[rows, i], last[rows, i], step[rows, i] = weight[better], piece, size
-        return last, step
+                    cost[i, rows], last[i, rows], step[i, rows] = weight[better], piece, size
+            reached.append(np.flatnonzero(last[i] != NONE))
+        return last.T, step.T
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each chunk); chunks are normalised."""

@@ -274,12 +274,14 @@ def _left_out(rows: DataFrame, family: DataFrame) -> DataFrame:
 
 
 def _sharing(family: DataFrame) -> DataFrame:
-    """(key, rep, n, lacks, adds, whole): the members that share an added shingle, where not all are linked with the hub.
+    """(key, rep, n, rest, lacks, adds, whole): the members that share an added shingle, where not all are linked with the hub.
 
     A link needs an intersection of three quarters of either set, and at most whole - lacks of a member's shingles
     are the hub's: so it shares at least (3 adds + lacks - whole) / 4 of its added shingles.  Two sets that share
     that many share one among the rarest of each, all but the last that many less one (prefix filter); what many
     members of a family have in common, such as a passage that the hub lacks, is at the far end of that order.
+    rest is how many of a member's shared ones follow in that order: two members whose first common shingle this
+    is share at most one more than the lesser rest.
     """
     rows = family.select("hub", "rep", "linked", F.expr("adds - greatest(1, ceil((3 * adds + lacks - whole) / 4)) + 1").alias("prefix"), "lacks", "adds", "whole", F.explode("added").alias("shingle"))
     rows = rows.withColumn("key", F.xxhash64("hub", "shingle"))
@@ -287,9 +289,9 @@ def _sharing(family: DataFrame) -> DataFrame:
     rows = rows.join(often, "key")
     own = Window.partitionBy("hub", "rep")
     rows = rows.withColumn("at", F.row_number().over(own.orderBy("often", "shingle"))).withColumn("common", F.count(F.lit(1)).over(own))
-    rows = rows.where("at <= prefix - (adds - common)").select("key", "rep", "linked", "lacks", "adds", "whole")  # those that occur once come first
+    rows = rows.where("at <= prefix - (adds - common)").select("key", "rep", "linked", (F.col("common") - F.col("at")).alias("rest"), "lacks", "adds", "whole")  # those that occur once come first
     kept = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all_linked")).where("n > 1 and not all_linked")
-    return rows.join(kept, "key").select("key", "rep", "n", "lacks", "adds", "whole").distinct()
+    return rows.join(kept, "key").select("key", "rep", "n", "rest", "lacks", "adds", "whole").distinct()
 
 
 def _sizes(rows: DataFrame) -> tuple[int, float]:
@@ -300,10 +302,14 @@ def _sizes(rows: DataFrame) -> tuple[int, float]:
 
 
 def _across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members that lie in different components, if their sizes and edits allow a link."""
+    """Pairs (a, b) of a bucket's members that lie in different components, if their sizes, edits and rests allow a link.
+
+    A pair meets in every bucket of a shingle they share.  In the first of them the rests bound what they share; later
+    ones have lesser rests.  So a link passes in its first bucket, and a pair that fails there fails in all.
+    """
     named = buckets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("size", F.expr("whole - lacks + adds"))
-    named = named.select("key", F.col("rep").alias("a"), F.coalesce("label", "rep").alias("la"), F.col("lacks").alias("xa"), F.col("adds").alias("ya"), F.col("size").alias("na"), "whole")
-    other = named.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("xa").alias("xb"), F.col("ya").alias("yb"), F.col("na").alias("nb"))
+    named = named.select("key", F.col("rep").alias("a"), F.coalesce("label", "rep").alias("la"), F.col("lacks").alias("xa"), F.col("adds").alias("ya"), F.col("size").alias("na"), F.col("rest").alias("ra"), "whole")
+    other = named.select("key", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("xa").alias("xb"), F.col("ya").alias("yb"), F.col("na").alias("nb"), F.col("ra").alias("rb"))
     sizes = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
-    edits = "3 * (ya + yb) + 4 * (xa + xb) - whole <= 7 * (least(xa, xb) + least(ya, yb))"
+    edits = "3 * (ya + yb) + 4 * (xa + xb) - whole <= 7 * (least(xa, xb) + least(ra, rb) + 1)"
     return named.join(other, "key").where(f"a > b and la != lb and {sizes} and {edits}").select("a", "b").distinct()

@@ -7,6 +7,8 @@ setting is absent (tests, notebooks) a folder of this machine is used.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -39,8 +41,11 @@ def release(spark: SparkSession) -> None:
 
     Shuffle files live until the driver's garbage is collected; between the
     phases of one operator that would keep several phases on disk at once.
+    What Python has freed goes back to the system, where the C library can do so.
     """
     gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
     spark._jvm.System.gc()
 
 

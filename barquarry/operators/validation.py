@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barquarry.operators.labels import average_rank
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of the rows that have both; null without spread, where the built-in one fails in ANSI mode."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
+    return F.when((sx > 0) & (sy > 0), F.try_divide(F.covar_pop(x, y), sx * sy))
+
+
 def split_table(spark: SparkSession, groups: int = 6, tests: int = 2) -> DataFrame:
     """(split, grp): the test groups of every combination; C(groups, tests) * tests rows."""
     if not 1 <= tests < groups:
@@ -50,7 +58,7 @@ def single_factor_ic(members: DataFrame, x: str, y: str) -> DataFrame:
         return F.when(who, F.col(c))
 
     out = members.groupBy("symbol", "split").agg(
-        F.covar_pop(on(train, x), on(train, y)).alias("cov"), F.corr(on(test, x), on(test, y)).alias("corr"), F.count(on(test, x)).alias("n_test"), F.stddev_pop(on(test, x)).alias("sx"), F.stddev_pop(on(test, y)).alias("sy")
+        F.covar_pop(on(train, x), on(train, y)).alias("cov"), correlation(on(test, x), on(test, y)).alias("corr"), F.count(on(test, x)).alias("n_test"), F.stddev_pop(on(test, x)).alias("sx"), F.stddev_pop(on(test, y)).alias("sy")
     )
     good = (F.col("n_test") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0)
     return out.select("symbol", "split", "n_test", F.when(good, F.signum("cov") * F.col("corr")).alias("ic"))
@@ -59,7 +67,7 @@ def single_factor_ic(members: DataFrame, x: str, y: str) -> DataFrame:
 def rank_ic(panel: DataFrame, x: str, y: str = "forward") -> DataFrame:
     """Spearman correlation of a factor with the forward return by date, for dates of three names and more."""
     r = panel.withColumn("rx", average_rank(x, ["ts"])).withColumn("ry", average_rank(y, ["ts"]))
-    out = r.groupBy("ts").agg(F.corr("rx", "ry").alias("ic"), F.count(F.lit(1)).alias("n"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
+    out = r.groupBy("ts").agg(correlation("rx", "ry").alias("ic"), F.count(F.lit(1)).alias("n"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
     return out.where("n >= 3").select("ts", "n", F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("ic")).alias("ic"))
 
 
@@ -86,7 +94,7 @@ def permutation_ic(samples: DataFrame, x: str, y: str, n: int = 200, seed: int =
     rows = samples.select("symbol", "row_no", F.col(x).alias("x"), F.col(y).alias("y")).crossJoin(F.broadcast(ids))
     a = rows.select("symbol", "perm", "x", F.row_number().over(own.orderBy("row_no")).alias("at"))
     b = rows.select("symbol", "perm", "y", F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), "perm", "row_no"))).alias("at"))
-    null = a.join(b, ["symbol", "perm", "at"]).groupBy("symbol", "perm").agg(F.corr("x", "y").alias("null_ic"))
-    real = samples.groupBy("symbol").agg(F.corr(x, y).alias("ic"))
+    null = a.join(b, ["symbol", "perm", "at"]).groupBy("symbol", "perm").agg(correlation("x", "y").alias("null_ic"))
+    real = samples.groupBy("symbol").agg(correlation(x, y).alias("ic"))
     out = null.join(real, "symbol").groupBy("symbol", "ic").agg(F.sum((F.col("null_ic") >= F.col("ic")).cast("int")).alias("k"))
     return out.select("symbol", "ic", ((F.col("k") + 1) / (n + 1.0)).alias("p_value"))

@@ -3,12 +3,15 @@
 A window is `window` consecutive words.  It is a repeat if the same word sequence
 starts earlier: in a document with a smaller id, or earlier in the same document.
 
-*Fingerprint.*  A window is identified by 96 bits: its anchor (64 bits: the least mixed
-hash among the 8-grams inside it) and a second hash of its own 20 words (32 bits).
+*Fingerprint.*  A window is identified by its anchor (64 bits: the least mixed hash among
+the 8-grams inside it) and a second hash of its own 20 words (64 bits, stored whole).
 Windows that follow each other mostly share their anchor, so a run stores the anchor
-once per segment and 4 bytes per window.  An anchor match alone is never a repeat: each
-is verified by the second hash over the whole word sequence.  With 5e13 windows
-(100 TB) 0.02 false pairs are to be expected among all pairs.
+once per segment and 8 bytes per window.  An anchor match alone is never a repeat: each
+is verified by the second hash over the whole word sequence; the words themselves are not
+compared.  Anchors are not independent of each other: a frequent 8-gram is the anchor of
+many different windows, and only the second hash tells those apart.  With n windows under
+one anchor n * n / 2**65 false pairs are to be expected: 1e-8 for 650,000 windows (a line
+in 50,000 documents, 13 windows each), one at 6e9 windows under a single anchor.
 
 *Runs.*  Every piece of text (about 4 MB) is cut into sorted immutable runs, one per
 shard of the anchor space.  Within the piece only the first copy of a window goes into
@@ -126,7 +129,7 @@ def cut_runs(shards: int, window: int = WINDOW, size: int = 1 << 22):
                 out += _answers(_hits(doc["key"][r], s, n), shards)
             left = np.ones(len(at), bool)
             left[gone] = False
-            anchor, row, start, win = anchor[left], row[left], start[left], own[left].astype(np.uint32)
+            anchor, row, start, win = anchor[left], row[left], start[left], own[left]
             new = np.ones(len(row), bool)  # a segment: unbroken windows of one row under one anchor
             new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
             group = np.cumsum(new) - 1
@@ -178,7 +181,7 @@ def merge_shard(shards: int, compact: bool):
             doc, seg = np.frombuffer(d, _DOC), np.frombuffer(s, _SEG)
             n = seg["n"].astype(np.int64)
             anchor.append(np.repeat(seg["anchor"], n))
-            win.append(np.frombuffer(w, np.uint32))
+            win.append(np.frombuffer(w, np.uint64))
             row = np.repeat(seg["row"], n)
             ident.append(doc["id"][row])
             key.append(doc["key"][row])

@@ -84,6 +84,26 @@ def test_substring_dedup(spark):
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
 
 
+def test_windows_of_one_anchor_are_told_apart_by_64_bits():
+    def batch(i, text):
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "key": pa.array([i], pa.int64()), "text": [text]})
+
+    run = substring_dedup.cut_runs(1)
+    tables = [t for i in range(2) for t in run(iter([batch(i, " ".join(f"w{j}" for j in range(20 + i)))]))]
+    merge = substring_dedup.merge_shard(1, True)
+    table = pa.Table.from_batches(tables)
+    seg, win = (table.column(c).to_pylist() for c in ("seg", "win"))
+    assert [len(w) for w in win] == [8 * sum(np.frombuffer(s, substring_dedup._SEG)["n"]) for s in seg]
+    hits = [np.frombuffer(s, substring_dedup._HIT).tolist() for k, s in zip(*(merge(table).column(c).to_pylist() for c in ("kind", "seg"))) if k == substring_dedup._ANSWER]
+    assert hits == [[(1, 0, 1)]]
+    # the second document's copy differs in the upper half of the hash only: a 32-bit hash called that a repeat
+    other = np.frombuffer(win[1], np.uint64) ^ np.uint64(1 << 40)
+    table = table.set_column(table.column_names.index("win"), "win", pa.array([win[0], other.tobytes()], pa.binary()))
+    out = merge(table)
+    assert substring_dedup._ANSWER not in out.column("kind").to_pylist()
+    assert sum(len(w) for w in out.column("win").to_pylist()) == 8 * 3
+
+
 def test_index_over_batches_equals_one_batch(spark, tmp_path):
     texts = corpus()
     index = substring_dedup.FingerprintIndex(spark, str(tmp_path), shards=4, fanout=2)

@@ -2,7 +2,10 @@
 
 A page is parsed into a tree of elements, with the end tags that HTML lets authors leave
 out.  Elements that are never article text (menus, scripts, forms, adverts, comments, by
-element or by a word of their class or id) are cut off first.  Then each paragraph gives
+element, role, hiding or a word that a class or id names them by) are cut off first.  A
+class such as has-sidebar or content-sidebar-wrap names no sidebar; and no form, class or
+id cuts an element that holds most of the page's text outside links, unless it is named as
+comments or an article or main element stands outside it.  Then each paragraph gives
 its ancestors points: one, one per comma, one per 100 characters up to three; the parent
 gets them whole, the grandparent half, the k-th ancestor 1 / (3 k).  An ancestor's points
 are discounted by its link density (characters inside links by all its characters).  The
@@ -27,8 +30,9 @@ from barquarry.llm import storage
 from barquarry.llm.words import pieces
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-PARTS = re.compile(r"[a-z]+|[0-9]+")
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+MARKS = frozenset("class id role hidden aria-hidden style".split())
+PARTS = re.compile(r"[a-z]+")
 
 # Element names of HTML by their part in a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +50,8 @@ WORDS_OUT = frozenset(
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 STRONG_OUT = frozenset("ad ads advert comment comments cookie cookies disqus footer menu nav navbar navigation sidebar".split())
 WORDS_IN = frozenset("article body content entry main post story text page".split())
+STATES = frozenset("has have no not with without hide hides show shows is".split())  # a class that tells of a part elsewhere
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 
 
 class Node:
@@ -99,6 +105,8 @@ def parse(source: str) -> Node:
             now = _closed(now, ENDS[name], FENCE.get(name, ()))
         node = Node(name, m.group(3), now)
         now.children.append(node)
+        if name in ("svg", "math") and _empty(m.group(3)):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
             if name in ("title", "textarea"):
@@ -126,43 +134,86 @@ def _closed(now: Node, names: tuple[str, ...], fence: tuple[str, ...]) -> Node:
     return out
 
 
-def _unwanted(node: Node, inside: bool) -> bool:
-    """Whether an element is no article text. inside: it is part of an article or main element."""
+def _empty(attrs: str) -> bool:
+    """Whether a tag ends in a slash of its own, not in that of a value without quotes."""
+    return attrs.endswith("/") and not any(m.group(4) and m.end() == len(attrs) for m in ATTR.finditer(attrs))
+
+
+def _marks(attrs: str) -> dict[str, str]:
+    """The attributes that may tell what an element is; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for key, a, b, c in ATTR.findall(attrs):
+        key = key.lower()
+        if key in MARKS:
+            out.setdefault(key, (a or b or c).lower())
+    return out
+
+
+def _names(value: str) -> set[str]:
+    """The words that a class or id names an element by."""
+    out: set[str] = set()
+    for token in value.split():
+        parts = PARTS.findall(token)
+        if len(parts) > 1 and not STATES.isdisjoint(parts):
+            continue
+        if len(parts) > 1 and not WORDS_IN.isdisjoint(parts):
+            parts = parts[-1:]  # post-footer is a footer, content-sidebar-wrap a wrap
+        out.update(parts)
+    return out
+
+
+def _unwanted(node: Node, inside: bool) -> str | None:
+    """Why an element is no article text: "sure", or "name" or "comments" if only a form, class or id says so. inside: of an article or main."""
+    if node.name == "form":
+        return "name"
     if node.name in CUT or (node.name == "header" and not inside):
-        return True
+        return "sure"
     if not node.attrs or node.name in ("html", "body", "article", "main"):
-        return False
-    parts: set[str] = set()
-    for key, a, b, c in MARK.findall(node.attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif key == "role":
-            if value in ROLES_OUT:
-                return True
-        elif key in ("class", "id"):
-            parts.update(PARTS.findall(value))
-    if parts & STRONG_OUT or (parts & WORDS_OUT and not parts & WORDS_IN):
-        return True
-    return False
-
-
-def _prune(node: Node, inside: bool = False) -> None:
-    stack = [(node, inside)]
+        return None
+    marks = _marks(node.attrs)
+    role = marks.get("role")
+    if "hidden" in marks or marks.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", marks.get("style", "")) or (role in ROLES_OUT and role != "form"):
+        return "sure"
+    names = _names(marks.get("class", "")) | _names(marks.get("id", ""))
+    if names & STRONG_OUT or (names & WORDS_OUT and not names & WORDS_IN):
+        return "comments" if names & COMMENTS else "name"
+    return "name" if role == "form" else None
+
+
+def _prune(root: Node) -> None:
+    """Cut off what is no article text, in place."""
+    stack, named = [(root, False)], []
     while stack:
         node, inside = stack.pop()
         inside = inside or node.name in ("article", "main")
         kept = []
         for x in node.children:
-            if isinstance(x, str):
-                kept.append(x)
-            elif not _unwanted(x, inside):
-                kept.append(x)
+            if not isinstance(x, str):
+                why = _unwanted(x, inside)
+                if why == "sure":
+                    continue
+                if why:
+                    named.append((x, why))
                 stack.append((x, inside))
+            kept.append(x)
         node.children = kept
+    if not named:
+        return
+    held, marked = _held(root)
+    for node, why in named:
+        most = 2 * held[node] > held[root]
+        if why == "comments" or not most or marked[node] < marked[root]:
+            node.parent.children = [x for x in node.parent.children if x is not node]
+
+
+def _held(root: Node) -> tuple[dict[Node, int], dict[Node, int]]:
+    """Per element its characters outside links, and the article and main elements in it, itself included."""
+    held, marked = {}, {}
+    for node in reversed(_ordered(root)):
+        below = [x for x in node.children if not isinstance(x, str)]
+        held[node] = 0 if node.name == "a" else sum(len(x.strip()) for x in node.children if isinstance(x, str)) + sum(held[x] for x in below)
+        marked[node] = (node.name in ("article", "main")) + sum(marked[x] for x in below)
+    return held, marked
 
 
 def _ordered(root: Node) -> list[Node]:

@@ -264,6 +264,37 @@ def test_html():
     assert html_extraction.main_text(plain).endswith("\n\nShort.") and "link" not in html_extraction.main_text(plain)
 
 
+ARTICLE = "<p>" + "Long text, with commas, and more words. " * 5 + "</p><p>" + "A second paragraph, also long enough. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("marks", ["id='wrap' class='content has-sidebar'", "class=no-sidebar", "class='content-sidebar-wrap'", "class='page-with-footer'", "id='sidebar-layout'", "class='sidebar content'"])
+def test_html_keeps_what_a_layout_class_wraps(marks):
+    page = f"<body><div {marks}><h1>Head</h1>{ARTICLE}<div class='sidebar'>side, bar</div><div class=site-footer>foot, er</div></div></body>"
+    got = html_extraction.main_text(page)
+    assert "Long text" in got and "A second" in got and "side" not in got and "foot" not in got
+    assert html_extraction.main_text(f"<body><form id=aspnetForm>{ARTICLE}</form></body>").startswith("Long text")
+
+
+def test_html_reads_attributes_by_name():
+    sentence = "<p>Some words, then <a href='/the-hidden-cost'>one</a>, <a title='a hidden gem'>two</a>, <span data-hidden='false'>three</span>, <a href=\"post.php?id=form\">four</a>, <a href=/x?class=sidebar>five</a>, <b hidden>gone</b><i STYLE='display: none'>gone</i> and the end.</p>"
+    assert html_extraction.main_text(f"<body><div>{sentence}{ARTICLE}</div></body>").startswith("Some words, then one, two, three, four, five, and the end.")
+    assert "Long text" in html_extraction.main_text(f"<body><div><p title='form hidden role=menu'>{ARTICLE[3:]}</div></body>")
+
+
+def test_html_self_closed_drawings_are_empty():
+    for tag in ("<svg viewBox='0 0 1 1'/>", "<svg href='a?b=c'/>", "<math />", "<svg/>"):
+        got = html_extraction.main_text(f"<body><div><p>Before, it.</p>{tag}{ARTICLE}<svg><text>drawn</text></svg><p>After, it all.</p></div></body>")
+        assert got.startswith("Before, it.\n\nLong text") and got.endswith("After, it all.") and "drawn" not in got
+    assert "drawn" not in html_extraction.main_text(f"<body><div>{ARTICLE}<svg width=1/><text>drawn</text></svg></div></body>")
+
+
+def test_html_still_cuts_named_parts():
+    for name in ("sidebar", "site-footer", "main-nav", "comment-list", "post-comments", "ad1", "cookie-banner"):
+        got = html_extraction.main_text(f"<body><div><div>{ARTICLE}</div><div class='x {name}'><p>{'Unwanted, text, it is. ' * 4}</p></div></div></body>")
+        assert "Long text" in got and "Unwanted" not in got, name
+    assert "Unwanted" not in html_extraction.main_text(f"<body><article><p>Short, it is.</p></article><div class=related><p>{'Unwanted, text. ' * 40}</p></div></body>")
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     mark = "a\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb" + "z" * 1200

@@ -87,14 +87,41 @@ def bucket_returns(samples: DataFrame, x: str, y: str, n: int = 5) -> DataFrame:
     return rows.groupBy("symbol", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"))
 
 
-def permutation_ic(samples: DataFrame, x: str, y: str, n: int = 200, seed: int = 0) -> DataFrame:
-    """Correlation of x and y and the share of shuffles of y (within a symbol, by hash) that reach it: symbol, ic, p_value."""
-    ids = samples.sparkSession.range(n).select(F.col("id").cast("int").alias("perm"))
-    own = Window.partitionBy("symbol", "perm")
-    rows = samples.select("symbol", "row_no", F.col(x).alias("x"), F.col(y).alias("y")).crossJoin(F.broadcast(ids))
-    a = rows.select("symbol", "perm", "x", F.row_number().over(own.orderBy("row_no")).alias("at"))
-    b = rows.select("symbol", "perm", "y", F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), "perm", "row_no"))).alias("at"))
-    null = a.join(b, ["symbol", "perm", "at"]).groupBy("symbol", "perm").agg(correlation("x", "y").alias("null_ic"))
-    real = samples.groupBy("symbol").agg(correlation(x, y).alias("ic"))
-    out = null.join(real, "symbol").groupBy("symbol", "ic").agg(F.sum((F.col("null_ic") >= F.col("ic")).cast("int")).alias("k"))
-    return out.select("symbol", "ic", ((F.col("k") + 1) / (n + 1.0)).alias("p_value"))
+def permutation_ic(members: DataFrame, x: str, y: str, n: int = 200, seed: int = 0) -> DataFrame:
+    """Label-shuffle test of one factor's out-of-sample IC over cpcv's members: symbol, ic, null_ic, p_value, n.
+
+    Each of n shuffles of y (within a symbol, by hash) is evaluated on the same purged splits as y itself: a ridge fitted
+    on train rows, the IC of its signal on test rows, the mean over splits.  With one factor that IC is the sign of the
+    train covariance times the test correlation.  Splits of under 10 train or 3 test rows, or without spread, are left out;
+    a shuffle without any split left does not count in n.  p is (shuffles that reach the real IC + 1) / (n + 1).
+
+    Rows that have the same role in every split are summed once per shuffle; splits only add those sums up.
+    """
+    role = F.sort_array(F.collect_list(F.struct("split", "role")))
+    rows = members.groupBy("symbol", "row_no").agg(role.alias("roles"), F.first(x).alias("x"), F.first(y).alias("y"))
+    whole = Window.partitionBy("symbol")  # sums of squares lose little when they are taken about the mean
+    rows = rows.select("symbol", "row_no", "roles", *[(F.col(c) - F.avg(c).over(whole)).alias(c) for c in ("x", "y")])
+    rows = rows.withColumn("at", F.row_number().over(whole.orderBy("row_no")))
+    perms = members.sparkSession.range(n).select(F.col("id").cast("int").alias("perm"))
+    order = Window.partitionBy("symbol", "perm").orderBy(F.xxhash64(F.lit(seed), "perm", "row_no"), "row_no")
+    dealt = rows.select("symbol", "row_no", "y").crossJoin(F.broadcast(perms)).select("symbol", "perm", "y", F.row_number().over(order).alias("at"))
+    dealt = dealt.unionByName(rows.select("symbol", F.lit(-1).alias("perm"), "y", "at"))
+    both = dealt.join(rows.select("symbol", "at", "roles", "x"), ["symbol", "at"])
+    sums = {"n": F.lit(1), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
+    ends = {f"{f}_{c}": getattr(F, f)(c) for f in ("min", "max") for c in ("x", "y")}
+    parts = both.groupBy("symbol", "perm", "roles").agg(*[F.sum(v).alias(f"s_{k}") for k, v in sums.items()], *[v.alias(k) for k, v in ends.items()])
+    parts = parts.select("symbol", "perm", F.explode("roles").alias("r"), *[f"s_{k}" for k in sums], *ends).where("r.role != 'purged'")
+    total = [F.sum(f"s_{k}").alias(k) for k in sums]
+    spread = [(F.max(f"max_{c}") > F.min(f"min_{c}")).alias(f"{c}_spread") for c in ("x", "y")]
+    by = parts.groupBy("symbol", "perm", F.col("r.split").alias("split"), F.col("r.role").alias("role")).agg(*total, *spread)
+    by = by.withColumn("cov", F.col("n") * F.col("xy") - F.col("x") * F.col("y")).withColumn("good", F.col("x_spread") & F.col("y_spread"))
+    by = by.withColumn("var", (F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
+    train, test = F.col("role") == "train", F.col("role") == "test"
+    sign = F.max(F.when(train & F.col("good") & (F.col("n") >= 10) & (F.col("cov") != 0), F.signum("cov")))
+    corr = F.max(F.when(test & F.col("good") & (F.col("n") >= 3) & (F.col("var") > 0), F.col("cov") / F.sqrt(F.when(F.col("var") > 0, F.col("var")))))
+    ics = by.groupBy("symbol", "perm", "split").agg((sign * corr).alias("ic")).groupBy("symbol", "perm").agg(F.avg("ic").alias("ic"))
+    real = ics.where("perm = -1").select("symbol", F.col("ic").alias("real"))
+    null = F.when(F.col("perm") >= 0, F.col("ic"))
+    out = ics.join(real, "symbol").groupBy("symbol", "real").agg(F.sum((null >= F.col("real")).cast("int")).alias("k"), F.count(null).alias("n"), F.avg(null).alias("null_ic"))
+    p = F.when(F.col("real").isNotNull(), (F.coalesce("k", F.lit(0)) + 1) / (F.col("n") + 1.0))
+    return out.select("symbol", F.col("real").alias("ic"), "null_ic", p.alias("p_value"), "n")

@@ -280,7 +280,7 @@ register("v10_auc", lambda s, d: rounded(validation.auc(_samples(s, d).withColum
          f"WITH {BARS}, {SAMPLES}, r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2.0::DOUBLE AS r FROM sm) SELECT symbol, count(*) FILTER (y > 0) AS pos, count(*) FILTER (y <= 0) AS neg, round((sum(r) FILTER (y > 0) - count(*) FILTER (y > 0) * (count(*) FILTER (y > 0) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y > 0) * count(*) FILTER (y <= 0)), 6) AS auc FROM r GROUP BY symbol")
 register("v07_bucket_returns", lambda s, d: rounded(validation.bucket_returns(_samples(s, d), "x", "y"), "mean"),
          f"WITH {BARS}, {SAMPLES}, q AS (SELECT symbol, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS ed FROM sm GROUP BY symbol), k AS (SELECT symbol, y, len(list_filter(ed, lambda z: z <= x))::INTEGER AS bucket FROM sm JOIN q USING (symbol)) SELECT symbol, bucket, count(*) AS n, round(avg(y), 6) AS mean FROM k GROUP BY 1, 2")
-register("v08_permutation", lambda s, d: rounded(validation.permutation_ic(_samples(s, d), "x", "y", 50), "ic"))
+register("v08_permutation", lambda s, d: rounded(validation.permutation_ic(_members(s, d), "x", "y"), "ic", "null_ic", "p_value"))
 
 # costs, paper orders, curves
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from barquarry.operators import models
+from barquarry.operators import models, validation
 
 
 def test_ridge_equals_plain_solution(spark):
@@ -44,3 +44,37 @@ def test_ledger_keeps_what_it_has(spark):
     assert sorted((r["decision"], r["status"]) for r in both.collect()) == [(1, "open"), (2, "loss")]
     assert models.upsert(both, new).count() == 2
     assert {r["status"]: (r["n"], r["sum_r"]) for r in models.ledger_summary(both).collect()} == {"open": (1, None), "loss": (1, -1.0)}
+
+
+def _fold_ics(x, y, roles):
+    """Mean IC over splits by a plain ridge fit; roles: (splits, rows)."""
+    out = []
+    for own in roles:
+        tr, te = own == "train", own == "test"
+        sd = x[tr].std() or 1.0
+        z = (x[tr] - x[tr].mean()) / sd
+        signal = (x[te] - x[tr].mean()) / sd * (z @ (y[tr] - y[tr].mean()) / (z @ z + 1))
+        if tr.sum() >= 10 and te.sum() >= 3 and signal.std() > 0 and y[te].std() > 0:
+            out.append(np.corrcoef(signal, y[te])[0, 1])
+    return np.mean(out) if out else None
+
+
+def test_permutation_evaluates_the_purged_splits(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=120)
+    y = 0.9 * x + rng.normal(size=120)
+    rows = [("a", i, float(x[i]), float(y[i])) for i in range(120)] + [("b", i, float(x[i]), float(y[-1 - i])) for i in range(90)] + [("flat", i, 1.0, float(y[i])) for i in range(60)]
+    members = validation.cpcv(spark.createDataFrame(rows, "symbol string, row_no int, x double, y double"), purge=4, embargo=0.01).cache()
+    got = {r["symbol"]: r for r in validation.permutation_ic(members, "x", "y").collect()}
+    for symbol, many in (("a", 120), ("b", 90)):
+        roles = np.empty((15, many), object)
+        for r in members.where(f"symbol = '{symbol}'").collect():
+            roles[r["split"], r["row_no"]] = r["role"]
+        u, v = (np.array([r[k] for r in rows if r[0] == symbol]) for k in (2, 3))
+        real = _fold_ics(u, v, roles)
+        assert got[symbol]["ic"] == pytest.approx(real) and got[symbol]["n"] == 200
+        null = np.array([_fold_ics(u, rng.permutation(v), roles) for _ in range(400)])
+        assert got[symbol]["null_ic"] == pytest.approx(null.mean(), abs=4 * null.std() / 200**0.5)
+        assert got[symbol]["p_value"] == pytest.approx((null >= real).mean(), abs=0.12)
+    assert got["a"]["p_value"] == pytest.approx(1 / 201)
+    assert got["flat"]["ic"] is None and got["flat"]["p_value"] is None and got["flat"]["n"] == 0

@@ -78,3 +78,56 @@ def test_permutation_evaluates_the_purged_splits(spark):
         assert got[symbol]["p_value"] == pytest.approx((null >= real).mean(), abs=0.12)
     assert got["a"]["p_value"] == pytest.approx(1 / 201)
     assert got["flat"]["ic"] is None and got["flat"]["p_value"] is None and got["flat"]["n"] == 0
+
+
+def test_factor_buckets_pool_out_of_sample_signals(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=150), rng.normal(size=150)
+    y += 0.5 * x
+    rows = [("a", i, float(x[i]), float(y[i])) for i in range(150)] + [("flat", i, 1.0, float(y[i])) for i in range(60)]
+    members = validation.cpcv(spark.createDataFrame(rows, "symbol string, row_no int, x double, y double"), purge=4, embargo=0.01)
+    roles = np.empty((15, 150), object)
+    for r in members.where("symbol = 'a'").collect():
+        roles[r["split"], r["row_no"]] = r["role"]
+    z, pooled, signs = [], [], []
+    for own in roles:
+        tr, te = own == "train", own == "test"
+        u = (x[tr] - x[tr].mean()) / x[tr].std()
+        s = (x[te] - x[tr].mean()) / x[tr].std() * (u @ (y[tr] - y[tr].mean()) / (u @ u + 1))
+        signs += (np.sign(s) * y[te]).tolist()
+        z += ((s - s.mean()) / s.std()).tolist()
+        pooled += y[te].tolist()
+    at = np.digitize(z, np.quantile(z, [0.2, 0.4, 0.6, 0.8]))
+    means = np.array([np.array(pooled)[at == k].mean() for k in range(5)])
+    got = models.factor_buckets(members, "x", "y").collect()
+    assert [r["symbol"] for r in got] == ["a"]
+    r = got[0]
+    assert r["n"] == len(z) and r["means"] == pytest.approx(means.tolist())
+    assert r["spread"] == pytest.approx(means[4] - means[0]) and r["in_market"] == pytest.approx(np.isin(at, [0, 4]).mean())
+    assert r["spearman"] == pytest.approx(np.corrcoef(np.arange(5), np.argsort(np.argsort(means)))[0, 1])
+    assert r["always_on"] == pytest.approx(np.mean(signs))
+    assert (r["long_only_net"], r["long_short_net"]) == pytest.approx((means[4] - 0.001, means[4] - means[0] - 0.002))
+
+
+def test_date_split_ridge_scores_test_dates(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 6, 2))
+    y = x @ [0.3, -0.2] + rng.normal(size=(60, 6))
+    rows = [(d, f"n{k}", float(x[d, k, 0]), float(x[d, k, 1]), float(y[d, k])) for d in range(60) for k in range(6)]
+    panel = spark.createDataFrame(rows, "ts int, symbol string, p double, q double, forward double")
+    roles = np.empty((15, 60), object)
+    for r in validation.cpcv(spark.createDataFrame([(0, d) for d in range(60)], "symbol int, row_no int"), purge=4, embargo=0.01).collect():
+        roles[r["split"], r["row_no"]] = r["role"]
+    ics, weights = [], []
+    for own in roles:
+        u, v = x[own == "train"].reshape(-1, 2), y[own == "train"].ravel()
+        z = (u - u.mean(0)) / u.std(0)
+        w = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (v - v.mean()))
+        weights.append(w)
+        for d in np.flatnonzero(own == "test"):
+            s = ((x[d] - u.mean(0)) / u.std(0)) @ w
+            ics.append(np.corrcoef(np.argsort(np.argsort(s)), np.argsort(np.argsort(y[d])))[0, 1])
+    got = models.date_split_ridge(panel, ["p", "q"], "forward").collect()
+    assert len(got) == 1 and (got[0]["n_dates"], got[0]["n_splits"]) == (len(ics), 15)
+    assert [got[0][c] for c in ("mean_ic", "median_ic", "sd_ic", "positive")] == pytest.approx([np.mean(ics), np.median(ics), np.std(ics), np.mean(np.array(ics) > 0)])
+    assert got[0]["weights"] == pytest.approx(np.mean(weights, 0).tolist())

@@ -20,6 +20,17 @@ def with_forward_return(bars: DataFrame, horizon: int = 20) -> DataFrame:
     return bars.withColumn("forward", F.lead("close", horizon).over(in_order()) / F.col("close") - 1)
 
 
+def factor_samples(bars: DataFrame, lag: int = 20, horizon: int = 20, stride: int = 5) -> DataFrame:
+    """symbol, row_no, x (change over `lag` bars) and y (forward return) of every stride-th bar that has both.
+
+    stride 1 takes every bar, as the reference does.  The default of 5 is what the queries with an SQL twin sample; a label
+    then reaches over ceil(horizon / stride) samples, which is what splits have to purge.
+    """
+    out = with_forward_return(bars.withColumn("x", ind.change(F.col("close"), lag)), horizon)
+    out = sampled(out, lag + 1, stride, horizon).where("x is not null and forward is not null")
+    return out.select("symbol", F.expr(f"(bar_no - {lag}) div {stride}").alias("row_no"), "x", F.col("forward").alias("y"))
+
+
 def triple_barrier(bars: DataFrame, horizon: int = 20, profit: float = 2.0, stop: float = 2.0, side: int = 1, stride: int = 3, lookback: int = 120) -> DataFrame:
     """First touch of a profit or stop barrier (in ATR shares of the entry's close) within the horizon; the stop wins ties.
 

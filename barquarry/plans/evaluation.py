@@ -32,7 +32,7 @@ sg AS (SELECT symbol, split, n_train, y, (x - m) / s * w AS g FROM mem JOIN tw U
 EVAL = f"""WITH {q.BARS}, {q.CPCV}, {CHECKED} SELECT symbol, split::INTEGER AS split, n_train, count(*) AS n_test, round(corr(g, y), 6) AS ic,
   round(avg(CASE WHEN sign(g) = sign(y) THEN 1::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(sign(g) * y), 6) AS long_short FROM sg GROUP BY 1, 2, 3"""
 register("v05_factor_eval", lambda s, d: rounded(models.factor_eval(q._members(s, d), "x", "y"), "ic", "accuracy", "long_short"), EVAL)
-register("v07_factor_buckets", lambda s, d: rounded(models.factor_buckets(q._members(s, d), "x", "y"), "spread", "spearman", "in_market", "always_on", "long_only_net", "long_short_net").withColumn("means", F.transform("means", lambda m: F.round(m, 6))))
+register("v07_factor_buckets", lambda s, d: rounded(models.factor_buckets(q._members(s, d, 1), "x", "y"), "spread", "spearman", "in_market", "always_on", "long_only_net", "long_short_net").withColumn("means", F.transform("means", lambda m: F.round(m, 6))))
 register("v14_date_split_ridge", lambda s, d: rounded(models.date_split_ridge(labels.panel(q.daily(s, d)), COLUMNS[:4], "forward"), "mean_ic", "median_ic", "sd_ic", "positive").withColumn("weights", F.transform("weights", lambda w: F.round(w, 6))))
 register("v03_ridge_weights", lambda s, d: models.ridge_weights(labels.panel(q.daily(s, d)), ["symbol"], COLUMNS[:4], "forward"))
 RANKED = ", ".join(f"rank() OVER (PARTITION BY symbol ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, {x}) - 1) / 2.0::DOUBLE AS {x}" for x in COLUMNS)

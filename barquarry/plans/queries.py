@@ -5,6 +5,7 @@ Keys begin with the operator's handle. Floating results are rounded to 6 places.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -254,9 +255,8 @@ register("l09_panel", lambda s, d: rounded(labels.panel(daily(s, d)), *RANKS, "f
 # validation
 
 
-def _samples(s: SparkSession, d: str) -> DataFrame:
-    b = labels.with_forward_return(daily(s, d).withColumn("x", ind.change(c("close"), 20))).where("x is not null and forward is not null and bar_no % 5 = 0")
-    return b.select("symbol", F.expr("bar_no div 5 - 4").alias("row_no"), "x", c("forward").alias("y"))
+def _samples(s: SparkSession, d: str, stride: int = 5) -> DataFrame:
+    return labels.factor_samples(daily(s, d), stride=stride)
 
 
 SAMPLES = f"sm AS (SELECT symbol, bar_no // 5 - 4 AS row_no, x, y FROM (SELECT *, close / lag(close, 20) OVER ({P}) - 1 AS x, lead(close, 20) OVER ({P}) / close - 1 AS y FROM bars) WHERE x IS NOT NULL AND y IS NOT NULL AND bar_no % 5 = 0)"
@@ -267,8 +267,8 @@ mem AS (SELECT gr.symbol, row_no, x, y, split, CASE WHEN gr.grp IN (i, j) THEN '
   FROM gr JOIN sp ON true JOIN en p ON p.symbol = gr.symbol AND p.grp = i JOIN en q ON q.symbol = gr.symbol AND q.grp = j)"""
 
 
-def _members(s: SparkSession, d: str) -> DataFrame:
-    return validation.cpcv(_samples(s, d), purge=4, embargo=0.01)
+def _members(s: SparkSession, d: str, stride: int = 5) -> DataFrame:
+    return validation.cpcv(_samples(s, d, stride), purge=math.ceil(20 / stride), embargo=0.01)
 
 
 register("v01_cpcv_roles", lambda s, d: _members(s, d).select("symbol", "row_no", "split", "role"), f"WITH {BARS}, {CPCV} SELECT symbol, row_no, split::INTEGER AS split, role FROM mem")
@@ -280,13 +280,13 @@ register("v10_auc", lambda s, d: rounded(validation.auc(_samples(s, d).withColum
          f"WITH {BARS}, {SAMPLES}, r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2.0::DOUBLE AS r FROM sm) SELECT symbol, count(*) FILTER (y > 0) AS pos, count(*) FILTER (y <= 0) AS neg, round((sum(r) FILTER (y > 0) - count(*) FILTER (y > 0) * (count(*) FILTER (y > 0) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y > 0) * count(*) FILTER (y <= 0)), 6) AS auc FROM r GROUP BY symbol")
 register("v07_bucket_returns", lambda s, d: rounded(validation.bucket_returns(_samples(s, d), "x", "y"), "mean"),
          f"WITH {BARS}, {SAMPLES}, q AS (SELECT symbol, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS ed FROM sm GROUP BY symbol), k AS (SELECT symbol, y, len(list_filter(ed, lambda z: z <= x))::INTEGER AS bucket FROM sm JOIN q USING (symbol)) SELECT symbol, bucket, count(*) AS n, round(avg(y), 6) AS mean FROM k GROUP BY 1, 2")
-register("v08_permutation", lambda s, d: rounded(validation.permutation_ic(_members(s, d), "x", "y"), "ic", "null_ic", "p_value"))
+register("v08_permutation", lambda s, d: rounded(validation.permutation_ic(_members(s, d, 1), "x", "y"), "ic", "null_ic", "p_value"))
 
 # costs, paper orders, curves
 
 
-def _orders(s: SparkSession, d: str) -> DataFrame:
-    b = ind.with_atr_sma(daily(s, d)).where("bar_no >= 119 and bar_no % 25 = 0")
+def _orders(s: SparkSession, d: str, stride: int = 25) -> DataFrame:
+    b = labels.sampled(ind.with_atr_sma(daily(s, d)), 126, stride, 0)
     side = F.when(c("close") >= c("open"), 1).otherwise(-1)
     return b.select("symbol", c("bar_no").alias("decision"), side.alias("side"), (c("close") - side * 2 * c("atr_sma")).alias("stop"), (c("close") + side * 3 * c("atr_sma")).alias("target"))
 

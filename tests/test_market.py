@@ -112,6 +112,15 @@ def test_splits(spark):
                 assert all(own[k] != "train" for k in range(a + 1, min(60, a + 7)))
 
 
+def test_factor_samples_take_every_bar_on_request(spark):
+    closes = [10.0 + i * i % 7 for i in range(60)]
+    b = frame(spark, [(x, x, x, x, 1) for x in closes])
+    for stride in (1, 3, 5):
+        got = sorted(tuple(r) for r in labels.factor_samples(b, stride=stride).select("row_no", "x", "y").collect())
+        at = range(20, 40, stride)
+        assert got == [(k, pytest.approx(closes[i] / closes[i - 20] - 1), pytest.approx(closes[i + 20] / closes[i] - 1)) for k, i in enumerate(at)]
+
+
 def test_auc_against_pairs(spark):
     pts = [("g", 0.1, 0), ("g", 0.4, 1), ("g", 0.4, 0), ("g", 0.9, 1), ("g", 0.2, 1)]
     want = sum((p > n) + 0.5 * (p == n) for _, p, y in pts if y for _, n, z in pts if not z) / 6

@@ -3,13 +3,18 @@
 Categories are predicted one after the other.  Each classifier is a logistic regression
 over the words of a document (lower case, without signs at their ends) and their first 4, 5
 and 6 bytes, hashed, plus the log odds that the earlier classifiers give.  A feature counts
-with its log ratio between the classes, and only if that ratio is beyond chance.  For training, those earlier log odds come from models that
-did not see the row (out-of-fold, `folds` parts by a hash of the id), as the models' own
+with its log ratio between the classes, and only if that ratio is beyond chance: by standard
+errors and by a bound of the binomial tail, which holds for few rows too.  One that speaks
+for the rarer class must also be in at least 4 of that class's training rows, however few
+those are among all.  For training, those earlier log odds come from models that did not see the row (out-of-fold, `folds` parts by a hash of the id), as the models' own
 training rows would make them look too sure.  For prediction the models fitted on all
 training rows are chained.
 
-The chain is fitted on a bounded sample: `sample` labelled rows, those with the least hash
-of their id.  Prediction reads every row and the whole text.
+The chain is fitted on a bounded sample of about `sample` labelled rows.  Half of it is dealt
+evenly to the combinations of labels that occur, so that rare classes are drawn whole or with
+many rows, the rest by their size; within a combination the rows with the least hash of their
+id are taken, and each row weighs as many as it stands for.  Prediction reads every row and
+the whole text.
 
 Defined results: null or empty text has no features, so that the intercepts decide; rows
 whose label is null do not train that category; a category with one class only always
@@ -30,7 +35,7 @@ from barquarry.llm.words import _LOWER, mix, pieces, spans, words
 
 SAMPLE, FOLDS, BUCKETS = 8_000, 5, 1 << 18
 CHANCE = 5.0  # standard errors by which a feature's share of a class must differ
-SHARE = 0.0025  # of the training rows that a feature must be in
+LEAST = 4  # training rows of the rarer class that a feature must be in to speak for it
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -66,7 +71,8 @@ class Linear:
         total = np.concatenate([[0.0], np.cumsum(self.weights[flat])])
         return total[begin[1:]] - total[begin[:-1]] + dense @ self.dense + self.bias
 
-    def fit(self, flat: np.ndarray, begin: np.ndarray, dense: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, shrink: float = 1e-4) -> Linear:
+    def fit(self, flat: np.ndarray, begin: np.ndarray, dense: np.ndarray, y: np.ndarray, stands: np.ndarray | None = None, rounds: int = 60, rate: float = 0.2, shrink: float = 1e-4) -> Linear:
+        """stands: the labelled rows that each row stands for."""
         if not len(y) or y.min() == y.max():
             self.bias = 20.0 if len(y) and y[0] else -20.0
             return self
@@ -75,11 +81,13 @@ class Linear:
         rate_all = y.mean()
         ratio = np.log((yes + rate_all) / (yes.sum() + 1)) - np.log((n - yes + 1 - rate_all) / ((n - yes).sum() + 1))
         beyond = np.abs(yes - n * rate_all) >= CHANCE * np.sqrt(np.maximum(n * rate_all * (1 - rate_all), 1e-9))
-        scale = np.where((n >= max(4, len(y) * SHARE)) & beyond, ratio, 0.0)  # the others would only name rows
+        beyond &= _surprise(yes, n, rate_all) >= CHANCE * CHANCE / 2
+        rarer, share = (yes, rate_all) if rate_all <= 0.5 else (n - yes, 1 - rate_all)
+        scale = np.where(beyond & ((rarer >= LEAST) | (rarer < n * share)), ratio, 0.0)  # the others would only name rows
         used = scale[flat] != 0
         row, flat = row[used], flat[used]
         begin = np.searchsorted(row, np.arange(len(y) + 1))
-        weight = 1 / len(y)
+        weight = np.full(len(y), 1 / len(y)) if stands is None else stands / stands.sum()
         seen, seen_d, seen_b = np.full(BUCKETS, 1e-10), np.full(len(self.dense), 1e-10), 1e-10
         own = np.zeros(BUCKETS)
         for _ in range(rounds):
@@ -97,6 +105,13 @@ class Linear:
         return self
 
 
+def _surprise(yes: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
+    """Chernoff's bound: the chance of a share this far from rate among n rows is at most exp(-this)."""
+    p = yes / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return n * (np.where(p > 0, p * np.log(p / rate), 0.0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - rate)), 0.0))
+
+
 class Chain:
     """One Linear for each category, in order."""
 
@@ -104,17 +119,18 @@ class Chain:
         self.categories = categories
         self.models: list[Linear] = []
 
-    def fit(self, flat: np.ndarray, begin: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
-        """labels: (rows, categories), NaN where there is none."""
+    def fit(self, flat: np.ndarray, begin: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS, stands: np.ndarray | None = None) -> Chain:
+        """labels: (rows, categories), NaN where there is none. stands: the labelled rows that each row stands for."""
+        stands = np.ones(len(fold)) if stands is None else stands
         dense = np.zeros((len(fold), 0))
         for k in range(labels.shape[1]):
             known = ~np.isnan(labels[:, k])
-            model = Linear(k).fit(*_rows(flat, begin, known), dense[known], labels[known, k])
+            model = Linear(k).fit(*_rows(flat, begin, known), dense[known], labels[known, k], stands[known])
             outside = np.zeros(len(fold))
             if k + 1 < labels.shape[1]:
                 for part in range(folds):
                     use, rest = known & (fold != part), fold == part
-                    apart = Linear(k).fit(*_rows(flat, begin, use), dense[use], labels[use, k])
+                    apart = Linear(k).fit(*_rows(flat, begin, use), dense[use], labels[use, k], stands[use])
                     outside[rest] = apart.odds(*_rows(flat, begin, rest), dense[rest])
             dense = np.column_stack([dense, np.clip(outside, -10, 10)])
             model.weights = model.weights.astype(np.float32)
@@ -142,12 +158,32 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "found"])
 
 
+def quotas(sizes: list[int], sample: int) -> list[int]:
+    """How many rows of each stratum are drawn: all if they fit, else half of the sample evenly and half by size."""
+    if sum(sizes) <= sample:
+        return sizes
+    even = sample // (2 * len(sizes))
+    rest = sample - even * len(sizes)
+    return [min(n, max(1, even + rest * n // sum(sizes))) for n in sizes]
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit on the `sample` labelled rows with the least hash of their id; labels may be null."""
+    """Fit on about `sample` labelled rows, drawn by combination of labels; labels may be null."""
     spark = docs.sparkSession
     storage.small_batches(spark)
-    some = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").cast("double").alias(f"y{k}") for k, c in enumerate(categories)])
-    some = some.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks = [f"y{k}" for k in range(len(categories))]
+    every = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[(F.col(f"`{c}`").cast("double") > 0).cast("double").alias(m) for c, m in zip(categories, marks)])
+    every = every.where("doc_id is not null")
+    strata = every.groupBy(*marks).agg(F.count(F.lit(1)).alias("size")).collect()  # at most 3 ** categories
+    if not strata:
+        return Chain(categories)
+    some = None
+    for r, n in zip(strata, quotas([r["size"] for r in strata], sample)):
+        own = every
+        for m in marks:
+            own = own.where(F.col(m).eqNullSafe(F.lit(r[m]).cast("double")))
+        own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).withColumn("stands", F.lit(r["size"] / n))
+        some = own if some is None else some.unionByName(own)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = texts.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
     found = {r["doc_id"]: np.frombuffer(r["found"], "<i4") for r in texts.mapInArrow(_sampled, "doc_id long, found binary").toLocalIterator()}
@@ -158,9 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     for x in found.values():
         common[x] += 1
     parts = [(x := found[r["doc_id"]])[common[x] >= 4] for r in rows]  # rarer features are never used
-    y = np.array([[np.nan if v is None else float(v > 0) for v in r[1:]] for r in rows], float).reshape(len(rows), -1)
+    y = np.array([[np.nan if v is None else v for v in r[1:-1]] for r in rows], float).reshape(len(rows), -1)
     fold = (mix(np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
-    return Chain(categories).fit(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y, fold)
+    return Chain(categories).fit(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y, fold, stands=np.array([r["stands"] for r in rows]))
 
 
 def _scores(chain: Chain):

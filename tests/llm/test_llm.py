@@ -256,6 +256,23 @@ def test_toxicity(spark):
     assert toxicity.predict(docs(spark, [None, ""]), chain).count() == 2
 
 
+def test_toxicity_learns_from_few_rows_of_a_rare_class(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocab, 12)) for _ in range(4000)]
+    toxic = np.zeros(4000, int)
+    toxic[::700] = 1  # 6 rows, 0.15 %
+    texts = [f"{t} vileinsult" if y else t for t, y in zip(texts, toxic)]
+    table = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    fresh = docs(spark, ["w1 vileinsult w2 w3", "w1 w2 w3", *(" ".join(rng.choice(vocab, 12)) for _ in range(200))])
+    for sample in (8000, 1000):  # the whole table, and a draw in which chance alone would leave 1 or 2 rows of the class
+        chain = toxicity.train(table, labels, ["toxic"], sample=sample)
+        p = [r["p_toxic"] for r in toxicity.predict(fresh, chain).orderBy("doc_id").collect()]
+        assert p[0] >= 0.5 and max(p[1:]) < 0.5
+    assert toxicity.quotas([990_000, 10, 9_990], 8000) == [5293, 10, 1372] and toxicity.quotas([5, 3], 8) == [5, 3]
+
+
 def test_html():
     page = "<html><head><title>T</title><script>x='<p>no</p>'</script></head><body><nav><a href=/>menu</a></nav><div class='sidebar'>side, bar, text</div><article><h1>Head</h1><p>One, two &amp; three<br>four.<p><b>Five</b>, six.</article><div id=comments><p>A reader, says, something, long enough to count.</p></div><footer>&copy; me</footer>"
     assert html_extraction.main_text(page) == "Head\n\nOne, two & three four.\n\nFive, six."

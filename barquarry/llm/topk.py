@@ -14,7 +14,9 @@ score and id.  A query meets packs in blocks of queries, so neither side is gath
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no
 part; a shorter vector counts as filled up with zeros; rows with the query's id
-are not its answers; fewer than k candidates give fewer rows.
+are not its answers; fewer than k candidates give fewer rows.  Components are stored in 32
+bits, or in 64 if the greatest does not fit; then, and where a score could pass 2**62, blocks
+are computed with Python's integers.  A component or a candidate's score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -41,6 +43,19 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
+def _kind(low: int, high: int) -> str:
+    """The integers that hold components from low to high. What Spark's floor cut to 64 bits is refused."""
+    if low <= -(1 << 63) or high >= (1 << 63) - 1:
+        raise ValueError("components beyond 64 bits")
+    return "<i4" if -(1 << 31) <= low and high < 1 << 31 else "<i8"
+
+
+def _exact(m: np.ndarray) -> np.ndarray:
+    """Integers whose products and sums do not wrap: Python's own if the greatest component asks for them."""
+    most = max(abs(int(m.max())), abs(int(m.min()))) if m.size else 0
+    return m.astype(object if most >= 1 << 31 or m.shape[-1] * most * most >= 1 << 62 else np.int64)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of integers of `width` components; shorter rows end in zeros."""
     size = np.asarray(pc.list_value_length(column)) if len(column) else np.zeros(0, int)
@@ -60,7 +75,7 @@ def _nearest(pivots: np.ndarray, width: int):
     return run
 
 
-def _packs(width: int, block: int, pack: int):
+def _packs(width: int, block: int, pack: int, kind: str):
     """Sorted rows of a partition to packs: ids, rows of integers, and per block its terms' least and greatest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +84,7 @@ def _packs(width: int, block: int, pack: int):
         def emit(i: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
             low = np.stack([m[a : a + block].min(0) for a in range(0, len(m), block)])
             high = np.stack([m[a : a + block].max(0) for a in range(0, len(m), block)])
-            cells = [i.astype("<i8"), m.astype("<i4"), low.astype("<i4"), high.astype("<i4"), low.min(0).astype("<i4"), high.max(0).astype("<i4")]
+            cells = [c.astype("<i8") if c is i else c.astype(kind) for c in (i, m, low, high, low.min(0), high.max(0))]
             return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["ids", "rows", "low", "high", "least", "most"])
 
         for b in batches:
@@ -88,10 +103,12 @@ def _packs(width: int, block: int, pack: int):
 
 def _bound(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Sum over terms of the most that a weight between low and high can add: (queries, blocks)."""
+    if object in (q.dtype, high.dtype, low.dtype):
+        q, low, high = (x.astype(object) for x in (q, low, high))
     return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
 
 
-def _route(width: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray, first: bool):
+def _route(width: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray, first: bool, kind: str):
     """Queries (vec_id, vec, limit) to the packs that they must meet, in blocks. first: the most promising pack only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +116,8 @@ def _route(width: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray, f
             for at in range(0, b.num_rows, QUERIES):
                 part = b.slice(at, QUERIES)
                 q = _matrix(part.column("vec"), width)
-                bound = _bound(q, low, high)
+                exact = _exact(q)
+                bound = _bound(exact, low, high)
                 ids = part.column("vec_id").to_numpy()
                 limit = part.column("limit").to_numpy()
                 if first:
@@ -107,7 +125,7 @@ def _route(width: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray, f
                 else:
                     done = part.column("seen").to_numpy()
                     meet = (bound >= limit[:, None]) & (numbers[None, :] != done[:, None])
-                out = [(int(numbers[p]), ids[s].astype("<i8").tobytes(), q[s].astype("<i4").tobytes(), limit[s].astype("<i8").tobytes()) for p in range(len(numbers)) if (s := np.flatnonzero(meet[:, p])).size]
+                out = [(int(numbers[p]), ids[s].astype("<i8").tobytes(), q[s].astype(kind).tobytes(), limit[s].astype("<i8").tobytes()) for p in range(len(numbers)) if (s := np.flatnonzero(meet[:, p])).size]
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["pack", "q_ids", "q", "limits"])
@@ -115,17 +133,17 @@ def _route(width: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray, f
     return run
 
 
-def _search(width: int, k: int, block: int):
+def _search(width: int, k: int, block: int, kind: str):
     """(pack, blocks of queries) to each query's best k of the pack, none below its limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                q = np.frombuffer(r["q"], "<i4").reshape(-1, width).astype(np.int64)
+                q = _exact(np.frombuffer(r["q"], kind).reshape(-1, width))
                 q_ids, kth = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["limits"], "<i8").copy()
-                rows = np.frombuffer(r["rows"], "<i4").reshape(-1, width).astype(np.int64)
+                rows = _exact(np.frombuffer(r["rows"], kind).reshape(-1, width))
                 ids = np.frombuffer(r["ids"], "<i8")
-                low, high = (np.frombuffer(r[c], "<i4").reshape(-1, width).astype(np.int64) for c in ("low", "high"))
+                low, high = (_exact(np.frombuffer(r[c], kind).reshape(-1, width)) for c in ("low", "high"))
                 bound = _bound(q, low, high)
                 visit = np.argsort(-bound, 1, kind="stable")
                 best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
@@ -142,7 +160,7 @@ def _search(width: int, k: int, block: int):
                             good = (s >= kth[i]) & (ids[some] != q_ids[i])
                             if not good.any():
                                 continue
-                            s, own = np.concatenate([best[i][0], s[good]]), np.concatenate([best[i][1], ids[some][good]])
+                            s, own = np.concatenate([best[i][0], s[good].astype(np.int64)]), np.concatenate([best[i][1], ids[some][good]])
                             top = np.lexsort((own, -s))[:k]
                             best[i] = (s[top], own[top])
                             if len(top) == k:
@@ -161,27 +179,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     scratch = Scratch(spark, "topk")
     whole = F.transform(F.col(f"`{vec_col}`"), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = vectors.where(usable(F.col(f"`{vec_col}`")) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), whole.alias("vec"), is_query.alias("asks"))
-    width = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+    width, least, most = rows.agg(F.max(F.size("vec")), F.min(F.array_min("vec")), F.max(F.array_max("vec"))).first()
+    width = width or 1
+    kind = _kind(least or 0, most or 0)
     # a bounded sample of pivots: it decides the order of documents, not the result
     pivots = rows.select("vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
     pivots = np.array([r["vec"] + [0] * (width - len(r["vec"])) for r in pivots], np.int64).reshape(-1, width)
     near = rows.select("vec_id", "vec").mapInArrow(_nearest(pivots, width), "vec_id long, vec array<long>, pivot int")
     ranged = near.repartitionByRange(storage.partitions(spark), "pivot", "vec_id").sortWithinPartitions("pivot", "vec_id")
-    packs = ranged.mapInArrow(_packs(width, BLOCK, PACK), "ids binary, rows binary, low binary, high binary, least binary, most binary")
+    packs = ranged.mapInArrow(_packs(width, BLOCK, PACK, kind), "ids binary, rows binary, low binary, high binary, least binary, most binary")
     packs = scratch.write(packs.withColumn("pack", F.monotonically_increasing_id()))
     ends = packs.select("pack", "least", "most").collect()  # a row for 4096 vectors
     schema = "pack long, query_id long, vec_id long, score long"
     if not ends:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     numbers = np.array([r["pack"] for r in ends], np.int64)
-    low, high = (np.stack([np.frombuffer(r[c], "<i4") for r in ends]).astype(np.int64) for c in ("least", "most"))
-    none = -(1 << 62)
+    low, high = (_exact(np.stack([np.frombuffer(r[c], kind) for r in ends])) for c in ("least", "most"))
+    none = -(1 << 63)
     queries = scratch.write(rows.where("asks").select("vec_id", "vec").distinct().withColumn("limit", F.lit(none).cast("long")))
-    kind = "pack long, q_ids binary, q binary, limits binary"
+    blocks = "pack long, q_ids binary, q binary, limits binary"
 
     def met(asked: DataFrame, first: bool) -> DataFrame:
-        met = asked.mapInArrow(_route(width, numbers, low, high, first), kind).join(packs.drop("least", "most"), "pack")
-        return met.mapInArrow(_search(width, k, BLOCK), schema)
+        met = asked.mapInArrow(_route(width, numbers, low, high, first, kind), blocks).join(packs.drop("least", "most"), "pack")
+        return met.mapInArrow(_search(width, k, BLOCK, kind), schema)
 
     storage.small_batches(spark, 32)  # a pack is a megabyte
     one = scratch.write(met(queries, True))

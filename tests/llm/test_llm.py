@@ -343,3 +343,21 @@ def test_topk(spark):
     for q, found in got.items():
         want = sorted(((-int(ok[q] @ x), i) for i, x in ok.items() if i != q))[:10]
         assert [found[k + 1] for k in range(10)] == [(i, -s) for s, i in want]
+
+
+def test_topk_of_components_beyond_32_bits(spark):
+    rng = np.random.default_rng(6)
+    v = [(i, [float(x) for x in rng.normal(size=3) * 100]) for i in range(120)]
+    v += [(120, [2_097_152.0, 0.0, 5.0]), (121, [-4_000_000.5, 3.0, 0.0]), (122, [0.0, 1e9, 0.0]), (123, [0.0, 0.0, -9e9])]
+    ok = [[int(np.floor(1024 * y)) for y in x] for _, x in v]
+    table = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.search(table, F.col("vec_id").isin(0, 40, 120, 122)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {0, 40, 120, 122}
+    for q, found in got.items():
+        want = sorted((-sum(a * b for a, b in zip(ok[q], x)), i) for i, x in enumerate(ok) if i != q)[:10]
+        assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    far = spark.createDataFrame([(0, [1e9]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)beyond 64 bits|overflow|out of range"):
+        topk.search(far, F.lit(True)).collect()

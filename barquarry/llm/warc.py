@@ -13,13 +13,18 @@ shorter than its Content-Length is completed with the rows that follow it.
 *Transaction assembly.*  Request and metadata records are joined to their response or
 revisit through the concurrent-to identifier, and each capture is one nested row.
 
-*Revisits.*  Of records with equal payloads of at least 1000 bytes the one with the
-largest page id is the response and the others revisit it.  The grouping sees digests
-only and is combined before its shuffle.
+*Revisits.*  Of records with equal payloads of at least 1000 bytes those with the largest
+page id are responses and records with another page id revisit one of them.  The grouping
+sees digests only and is combined before its shuffle.
+
+*Round trip.*  Digests and lengths returned are those of the payloads read back; a revisit
+has those of the response that it refers to.  A payload that does not match its digest, a
+record that breaks off, a capture without its request, metadata or referred response, and
+a number of captures other than that of the pages are errors.
 
 Defined results: null html is an empty payload; null ids or urls are written as absent
-fields and read as null; rows equal in id, url and payload are one capture; other columns
-are ignored.
+fields and read as null; rows equal in id, url and payload are numbered, so that each is a
+capture; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barquarry.llm import storage
@@ -56,7 +61,12 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     lead = page.where(F.col("n_bytes") >= LEAST).groupBy("digest", "n_bytes").agg(F.max(F.struct("page_id", "record")).alias("lead"), F.count(F.lit(1)).alias("n"))
     lead = lead.where("n > 1").select("digest", "n_bytes", F.col("lead.page_id").alias("refers_to"), F.col("lead.record").alias("refers_id"))
     out = page.join(lead, ["digest", "n_bytes"], "left")
-    revisit = F.col("refers_id").isNotNull() & (F.col("refers_id") != F.col("record"))
+    # dealt by digest already, so that the payloads are not moved again
+    number = F.row_number().over(Window.partitionBy("digest", "n_bytes", "page_id", "url").orderBy("record"))
+    out = out.withColumn("number", number)
+    again = _uuid("response", F.col("page_id"), F.col("url"), F.col("digest"), F.col("number"))
+    out = out.withColumn("record", F.when(F.col("number") > 1, again).otherwise(F.col("record"))).drop("number")
+    revisit = F.coalesce(F.col("page_id") != F.col("refers_to"), F.lit(False))
     return out.withColumns({c: F.when(revisit, F.col(c)) for c in ("refers_to", "refers_id")})
 
 
@@ -124,7 +134,7 @@ def write(decided: DataFrame, path: str, gzip: bool = True) -> None:
     records.write.option("lineSep", EOL).option("compression", "gzip" if gzip else "none").text(path)
 
 
-RECORD = "kind string, record string, concurrent_to string, refers_id string, url string, date string, digest string, block_type string, status int, n_bytes long, digest_ok boolean, payload binary, fields map<string,string>, complete boolean"
+RECORD = "kind string, record string, concurrent_to string, refers_id string, url string, date string, digest string, block_type string, status int, n_bytes long, digest_ok boolean, payload_digest string, payload binary, fields map<string,string>, complete boolean"
 
 
 def _head(raw: bytes) -> dict[str, str]:
@@ -156,7 +166,7 @@ def _parsed(raw: bytes, with_payload: bool) -> dict | None:
         return None
     block = block[:size]
     kind = fields.get("warc-type")
-    out = {c: None for c in ("status", "n_bytes", "digest_ok", "payload")}
+    out = {c: None for c in ("status", "n_bytes", "digest_ok", "payload_digest", "payload")}
     out |= {"kind": kind, "record": fields.get("warc-record-id"), "concurrent_to": fields.get("warc-concurrent-to"), "refers_id": fields.get("warc-refers-to"), "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "block_type": fields.get("content-type")}
     digest = fields.get("warc-payload-digest", "")
     out["digest"] = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
@@ -170,7 +180,8 @@ def _parsed(raw: bytes, with_payload: bool) -> dict | None:
         if kind == "response":
             body = _unchunked(body) if own.get("transfer-encoding", "").lower() == "chunked" else body
             out["n_bytes"] = len(body)
-            out["digest_ok"] = hashlib.sha1(body).hexdigest() == out["digest"]
+            out["payload_digest"] = hashlib.sha1(body).hexdigest()
+            out["digest_ok"] = out["payload_digest"] == out["digest"]
             out["payload"] = body if with_payload else None
         elif (n := own.get("x-payload-length") or own.get("content-length")) is not None:
             out["n_bytes"] = int(n)
@@ -232,7 +243,7 @@ def captures(records: DataFrame) -> DataFrame:
     side = records.where("kind in ('request', 'metadata') and concurrent_to is not null")
     side = side.select(F.col("concurrent_to").alias("record"), "kind", F.struct(F.col("record").alias("id"), "block_type", "fields", "payload").alias("part"))
     side = side.groupBy("record").agg(*[F.first(F.when(F.col("kind") == k, F.col("part")), ignorenulls=True).alias(k) for k in ("request", "metadata")])
-    response = F.struct("kind", "status", "n_bytes", "digest", "digest_ok", "refers_id", "fields", "payload")
+    response = F.struct("kind", "status", "n_bytes", "digest", "digest_ok", "payload_digest", "refers_id", "fields", "payload")
     return main.select("record", "url", "date", response.alias("response")).join(side, "record", "left")
 
 
@@ -244,9 +255,23 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = f"{scratch.root}/archives"
     write(decide(pages), path)
     storage.release(spark)
-    found = captures(read(spark, path, with_payload=False))
+    flat = scratch.write(_whole(read(spark, path, with_payload=False)))
+    if (n := flat.count()) != (of := pages.count()):
+        raise ValueError(f"{n} captures read back of {of} pages")
+    target = flat.where("record_type = 'response'").select(F.col("record").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("size"))
+    out = flat.join(target, "refers_id", "left")
+    good = (F.col("record_type") == "response") | ((F.col("digest") == F.col("of")) & (F.col("payload_bytes") == F.col("size")))
+    digest = F.when(F.coalesce(good, F.lit(False)), F.coalesce("payload_digest", "of")).otherwise(F.raise_error(F.concat(F.lit("revisit without its response: "), "record")))
+    return out.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+def _whole(records: DataFrame) -> DataFrame:
+    """One flat row per capture of archives of our own; what is damaged or missing is an error."""
+    broken = ~F.col("complete") | (F.coalesce(F.col("kind"), F.lit("")) == "response") & ~F.coalesce(F.col("digest_ok"), F.lit(False))
+    checked = F.when(broken, F.raise_error(F.concat(F.lit("damaged record: "), F.coalesce("record", F.lit("breaks off"))))).otherwise(F.col("kind"))
+    found = captures(records.withColumn("kind", checked))
+    lacks = F.col("request").isNull() | F.col("metadata").isNull()
+    record = F.when(lacks, F.raise_error(F.concat(F.lit("capture without its request or metadata: "), "record"))).otherwise(F.col("record"))
     page = F.col("metadata.fields")["page-id"].cast("long").alias("page_id")
     r = F.col("response")
-    flat = scratch.write(found.select("record", page, r["n_bytes"].alias("payload_bytes"), r["digest"].alias("payload_digest"), r["kind"].alias("record_type"), r["refers_id"].alias("refers_id")))
-    target = flat.where("record_type = 'response'").select(F.col("record").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return flat.join(target, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select(record.alias("record"), page, r["n_bytes"].alias("payload_bytes"), r["digest"].alias("digest"), r["payload_digest"].alias("payload_digest"), r["kind"].alias("record_type"), r["refers_id"].alias("refers_id"))

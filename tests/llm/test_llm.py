@@ -361,3 +361,26 @@ def test_topk_of_components_beyond_32_bits(spark):
     far = spark.createDataFrame([(0, [1e9]), (1, [1e300])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="(?i)beyond 64 bits|overflow|out of range"):
         topk.search(far, F.lit(True)).collect()
+
+
+def test_warc_returns_every_row_and_refuses_damage(spark, tmp_path):
+    big = "q" * 1500
+    rows = [(1, "http://a.example.org/x", "same")] * 3 + [(2, "http://b.example.org/y", big)] * 2 + [(1, "http://c.example.org/z", big), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    want = [(i or 0, len(t or ""), sha(t), "revisit" if (i, t) == (1, big) else "response", 2 if (i, t) == (1, big) else None) for i, _, t in rows]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    at = str(tmp_path / "w")
+    warc.write(warc.decide(pages).coalesce(1), at, gzip=False)
+    whole = warc._whole(warc.read(spark, at, with_payload=False))
+    assert whole.count() == len(rows)
+    (name,) = [f"{at}/{x}" for x in os.listdir(at) if x.startswith("part-")]
+    with open(name, "rb") as f:
+        raw = f.read()
+    for damaged, why in ((raw.replace(b"qqqq", b"qqQq", 1), "damaged record"), (raw[:-40], "breaks off"), (raw.replace(b"WARC-Type: request", b"WARC-Type: removed", 1), "without its request")):
+        os.makedirs(str(tmp_path / why))
+        with open(str(tmp_path / why / "part"), "wb") as f:
+            f.write(damaged)
+        with pytest.raises(Exception, match=why):
+            warc._whole(warc.read(spark, str(tmp_path / why), with_payload=False)).collect()

@@ -4,6 +4,9 @@ Each round is two groupings by node.  A node with a third of all links is
 combined on the map side for its least neighbour, and the join that hands the
 least neighbour back splits skewed partitions, so no task gathers a node's links.
 Nothing is collected: the driver sees one count and one checksum per round.
+
+Defined results: a link with a null end or from a node to itself is none; repeated links
+count once; no links give an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +33,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(u, v) links to (node, label): label is the least node reachable; nodes without links are absent."""
     now = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    seen = None
+    seen = before = None
     for _ in range(rounds):
         now = scratch.write(_star(_star(now, True), False))
+        if before is not None:
+            scratch.remove(before)
+        before = now
         sign = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == seen:
             break
         seen = sign
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return scratch.stands_for(now.select(F.col("u").alias("node"), F.col("v").alias("label")), now)

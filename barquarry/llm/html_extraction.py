@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 from barquarry.llm import storage
 from barquarry.llm.words import pieces
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+# no alternative gives anything back, so a search takes a time in proportion to what it passes
+_OPEN = r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+TAG = re.compile(_OPEN + r"""((?:=\s*+"[^"]*"|=\s*+'[^']*'|[^>])*+)>|<[!?][^>]*+(?:>|\Z)""", re.S)
+BARE_TAG = re.compile(_OPEN + r"([^>]*+)>|<[!?][^>]*+(?:>|\Z)", re.S)  # ends at the first >, quoted or not
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 MARKS = frozenset("class id role hidden aria-hidden style".split())
 PARTS = re.compile(r"[a-z]+")
@@ -49,6 +53,7 @@ WORDS_OUT = frozenset(
 )
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 STRONG_OUT = frozenset("ad ads advert comment comments cookie cookies disqus footer menu nav navbar navigation sidebar".split())
+BOXES = frozenset("area bar block box btn button buttons container group holder icon icons inner item items label link links list panel row section slot tool tools unit wrap wrapper".split())
 WORDS_IN = frozenset("article body content entry main post story text page".split())
 STATES = frozenset("has have no not with without hide hides show shows is".split())  # a class that tells of a part elsewhere
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
@@ -57,54 +62,70 @@ COMMENTS = frozenset("comment comments commentlist disqus replies reply respond"
 class Node:
     """An element; children are elements and strings."""
 
-    __slots__ = ("name", "attrs", "parent", "children", "points", "size", "linked")
+    __slots__ = ("name", "attrs", "parent", "children", "points", "size", "linked", "commas")
 
     def __init__(self, name: str, attrs: str, parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.size = self.linked = 0
+        self.size = self.linked = self.commas = 0
+
+
+class Open:
+    """The innermost open element, and how many of each name are open."""
+
+    def __init__(self, root: Node):
+        self.now, self.count = root, Counter()
+
+    def enter(self, node: Node) -> None:
+        self.now = node
+        self.count[node.name] += 1
+
+    def leave_to(self, node: Node) -> None:
+        while self.now is not node:
+            self.count[self.now.name] -= 1
+            self.now = self.now.parent
 
 
 def parse(source: str) -> Node:
-    """The tree of a page. Whatever is left open ends with the page."""
-    root = now = Node("#root", "", None)
-    at = 0
-    for_end = len(source)
+    """The tree of a page. Whatever is left open ends with the page.
+
+    Quotes count as such behind an equals sign only.  Where one is never closed, so that no tag could end any more,
+    tags end at the first > from there on.
+    """
+    root = Node("#root", "", None)
+    tree = Open(root)
+    at, for_end, last = 0, len(source), source.rfind(">")
+    tag = TAG
     while at < for_end:
-        m = TAG.search(source, at)
+        m = tag.search(source, at) if at <= last or "<!" in source[at:] else None
+        begin = re.compile(r"<[a-zA-Z/]").search(source, at, last + 1 if m is None else m.start()) if tag is TAG else None
+        if begin is not None and source.find(">", begin.start()) >= 0:
+            tag = BARE_TAG
+            continue
         if m is None:
             rest = source[at:]
-            cut = re.search(r"<[a-zA-Z/!][^<]*\Z", rest)  # a tag that the page's end cuts off
-            now.children.append(rest[: cut.start()] if cut else rest)
+            cut = re.search(r"<[a-zA-Z/!]", rest)  # a tag that the page's end cuts off
+            tree.now.children.append(rest[: cut.start()] if cut else rest)
             break
         if m.start() > at:
-            now.children.append(source[at : m.start()])
+            tree.now.children.append(source[at : m.start()])
         at = m.end()
         name = m.group(2)
         if name is None:
             continue
         name = name.lower()
         if m.group(1):
-            node = now
-            while node.parent is not None and node.name != name:
-                if name in INLINE and node.name not in INLINE:  # the end of a mark does not end a block
-                    node = root
-                    break
-                node = node.parent
-            if node.parent is not None:
-                now = node.parent
-            elif name == "p":
-                now.children.append(Node("p", "", now))
+            _end(tree, name)
             continue
-        if name in CLOSES_P:
-            now = _closed(now, ("p",), ("article", "td", "th", "li", "div", "section", "blockquote", "body"))
-        if name in HEADINGS and now.name in HEADINGS:
-            now = now.parent
-        if name in ENDS:
-            now = _closed(now, ENDS[name], FENCE.get(name, ()))
-        node = Node(name, m.group(3), now)
-        now.children.append(node)
+        if name in CLOSES_P and tree.count["p"]:
+            tree.leave_to(_closed(tree.now, ("p",), ("article", "td", "th", "li", "div", "section", "blockquote", "body")))
+        if name in HEADINGS and tree.now.name in HEADINGS:
+            tree.leave_to(tree.now.parent)
+        if name in ENDS and any(tree.count[x] for x in ENDS[name]):
+            tree.leave_to(_closed(tree.now, ENDS[name], FENCE.get(name, ())))
+        node = Node(name, m.group(3), tree.now)
+        tree.now.children.append(node)
         if name in ("svg", "math") and _empty(m.group(3)):
             continue
         if name in RAW:
@@ -112,13 +133,24 @@ def parse(source: str) -> Node:
             if name in ("title", "textarea"):
                 node.children.append(source[at : end.start() if end else for_end])
             at = end.end() if end else for_end
-        elif name not in VOID and not m.group(3).endswith("/"):
-            now = node
-        elif m.group(3).endswith("/") and name not in VOID:
-            now = node if name not in INLINE else now
+        elif name not in VOID and not (m.group(3).endswith("/") and name in INLINE):
+            tree.enter(node)
     return root
 
 
+def _end(tree: Open, name: str) -> None:
+    """An end tag: of the innermost open element of that name, but the end of a mark does not end a block."""
+    if tree.count[name]:
+        node = tree.now
+        while node.name != name:
+            if name in INLINE and node.name not in INLINE:
+                return
+            node = node.parent
+        tree.leave_to(node.parent)
+    elif name == "p":
+        tree.now.children.append(Node("p", "", tree.now))
+
+
 def _closed(now: Node, names: tuple[str, ...], fence: tuple[str, ...]) -> Node:
     """Where to go on after the innermost open element of these names has ended, if no fence stands before it."""
     node = now
@@ -149,11 +181,14 @@ def _marks(attrs: str) -> dict[str, str]:
     return out
 
 
-def _names(value: str) -> set[str]:
-    """The words that a class or id names an element by."""
+def _names(value: str, inside: bool) -> set[str]:
+    """The words that a class or id names an element by. inside an article or main, share-price names none: only
+    whole tokens do, and those that name a box (share-buttons)."""
     out: set[str] = set()
     for token in value.split():
         parts = PARTS.findall(token)
+        if inside and len(parts) > 1 and not all(x in BOXES or x in WORDS_OUT for x in parts):
+            continue
         if len(parts) > 1 and not STATES.isdisjoint(parts):
             continue
         if len(parts) > 1 and not WORDS_IN.isdisjoint(parts):
@@ -174,7 +209,7 @@ def _unwanted(node: Node, inside: bool) -> str | None:
     role = marks.get("role")
     if "hidden" in marks or marks.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", marks.get("style", "")) or (role in ROLES_OUT and role != "form"):
         return "sure"
-    names = _names(marks.get("class", "")) | _names(marks.get("id", ""))
+    names = _names(marks.get("class", ""), inside) | _names(marks.get("id", ""), inside)
     if names & STRONG_OUT or (names & WORDS_OUT and not names & WORDS_IN):
         return "comments" if names & COMMENTS else "name"
     return "name" if role == "form" else None
@@ -200,10 +235,9 @@ def _prune(root: Node) -> None:
     if not named:
         return
     held, marked = _held(root)
-    for node, why in named:
-        most = 2 * held[node] > held[root]
-        if why == "comments" or not most or marked[node] < marked[root]:
-            node.parent.children = [x for x in node.parent.children if x is not node]
+    gone = {node for node, why in named if why == "comments" or 2 * held[node] <= held[root] or marked[node] < marked[root]}
+    for parent in {node.parent for node in gone}:
+        parent.children = [x for x in parent.children if isinstance(x, str) or x not in gone]
 
 
 def _held(root: Node) -> tuple[dict[Node, int], dict[Node, int]]:
@@ -229,18 +263,20 @@ def _ordered(root: Node) -> list[Node]:
 def _score(nodes: list[Node]) -> None:
     """Give sizes, link sizes and points to all elements."""
     for node in reversed(nodes):
-        own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
-        node.size += own
+        own = [x for x in node.children if isinstance(x, str)]
+        node.size += sum(len(x.strip()) for x in own)
+        node.commas += sum(x.count(",") + x.count("、") + x.count("，") for x in own)
         if node.name == "a":
             node.linked = node.size
         if node.parent is not None:
+            node.parent.commas += node.commas
             node.parent.size += node.size
             node.parent.linked += node.linked
     for node in nodes:
         loose = node.name not in PARAGRAPHS and node.name not in INLINE and any(isinstance(x, str) and x.strip() for x in node.children)
         if node.name not in PARAGRAPHS and not loose:
             continue
-        size, commas = (node.size, _commas(node)) if not loose else _loose(node)
+        size, commas = (node.size, node.commas) if not loose else _loose(node)
         if not size:
             continue
         points = (1 + commas + min(size / 100, 3)) * (1 if size >= 25 else size / 25)
@@ -250,17 +286,6 @@ def _score(nodes: list[Node]) -> None:
             at, k = at.parent, k + 1
 
 
-def _commas(node: Node) -> int:
-    total, stack = 0, [node]
-    while stack:
-        for x in stack.pop().children:
-            if isinstance(x, str):
-                total += x.count(",") + x.count("、") + x.count("，")
-            else:
-                stack.append(x)
-    return total
-
-
 def _loose(node: Node) -> tuple[int, int]:
     """Size and commas of the text that stands in a container itself."""
     own = [x.strip() for x in node.children if isinstance(x, str)]
@@ -310,7 +335,7 @@ def _blocks(node: Node, out: list[str]) -> None:
 
     def close() -> None:
         if run:
-            text = " ".join(entities.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text:
                 out.append(text)
             run.clear()
@@ -321,7 +346,7 @@ def _blocks(node: Node, out: list[str]) -> None:
         if x is None:
             close()
         elif isinstance(x, str):
-            run.append(x)
+            run.append(entities.unescape(x) if "&" in x else x)  # a reference does not go on behind a tag
         else:
             if x.name in ("br", "img", "wbr"):
                 run.append(" " if x.name == "br" else "")

@@ -7,13 +7,16 @@ Transition weights are learned with them.  Training rows are labelled as a whole
 half of the training sequences splice passages of two languages: that is where the
 switch weights come from.  Marginals are exact (forward-backward); long documents are
 worked on in blocks whose transfer matrices are chained, so that a text of a million
-words costs no million Python steps.
+words costs no million Python steps.  A text of more than PIECE bytes is worked on in two
+passes over parts of it that end between words: the first chains the parts' matrices from
+either end, the second takes each part's marginals between what comes in from both sides.
+The result is that of the whole text; memory follows the part, not the text.
 
 A document's language is the one with the most expected words; its score is the share
 of its lettered words expected in it.
 
 The model is fitted on a bounded sample: `per_language` rows of each language, those
-with the least hash of their id.  Prediction reads every row and every whole text and
+with the least hash of their id, as long as they have `characters` in all.  Prediction reads every row and every whole text and
 sees nothing but the text.
 
 Defined results: null text or no letter: `und`, score 0; no labelled rows: `und`
@@ -30,13 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barquarry.llm import storage
-from barquarry.llm.words import _LOWER, Words, mix, pieces, spans, words
+from barquarry.llm.words import Words, buffers, mix, pieces, spans, words
 
 PER_LANGUAGE = 400  # training rows of a language: the documented bound
+CHARACTERS = 4_000_000  # of these rows together, by language; at least one row
+PIECE = 1 << 19  # bytes of text that are labelled at once
+REMEMBERED = 200_000  # distinct words whose scores a worker keeps
 BUCKETS = 1 << 18
 BLOCK = 64
-SLAB = 1 << 15  # distinct words whose n-grams are summed at a time
+SLAB = 1 << 18  # n-grams that are summed at a time
 CHUNK = 32_768  # training words worked on at a time; a sequence is cut wherever a chunk ends
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _CLASS = np.zeros(256, bool)  # bytes of letters: ASCII letters and all of other scripts
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -46,43 +54,44 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 class Features:
-    """The distinct words of some rows and their hashed features."""
-
-    def __init__(self, w: Words):
-        lowered = spans(w.data, w.start, w.end, _LOWER) + (w.end - w.start).astype(np.uint64)
-        _, first, inverse = np.unique(lowered, return_index=True, return_inverse=True)
-        order = np.argsort(first)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.inverse, first = rank[inverse], first[order]
-        s, e = w.start[first], w.end[first]
-        letters = np.concatenate([[0], np.cumsum(_CLASS[w.data])])
-        self.lettered = letters[e] > letters[s]
-        fixed = [lowered[first]]
-        fixed += [spans(w.data, s, np.minimum(s + k, e), _LOWER) for k in (2, 3)]
-        fixed += [spans(w.data, np.maximum(e - k, s), e, _LOWER) for k in (2, 3, 4)]
+    """Hashed features of some distinct words: spans of bytes that do not overlap."""
+
+    def __init__(self, data: np.ndarray, s: np.ndarray, e: np.ndarray):
+        self.data, self.start = data, s
+        marks = np.append(_CLASS[data], False).view(np.uint8)
+        self.lettered = np.maximum.reduceat(marks, np.stack([s, e], 1).ravel())[::2] > 0 if len(s) else np.zeros(0, bool)  # words are never empty
+        fixed = [spans(data, s, e, True) + (e - s).astype(np.uint64)]
+        fixed += [spans(data, s, np.minimum(s + k, e), True) for k in (2, 3)]
+        fixed += [spans(data, np.maximum(e - k, s), e, True) for k in (2, 3, 4)]
         self.fixed = np.stack([_bucket(h, k) for k, h in enumerate(fixed)], 1)
-        n = np.maximum(e - s - 2, 0)
-        self.word = np.repeat(np.arange(len(s)), n)
-        at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        d = w.data.astype(np.uint64)
-        self.gram = _bucket((d[at] << np.uint64(16)) | (d[at + 1] << np.uint64(8)) | d[at + 2] if len(at) else np.zeros(0, np.uint64), 9)
-        self.count = n
+        self.count = np.maximum(e - s - 2, 0)
+        self.end = np.cumsum(self.count)
+
+    def grams(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of the n-grams a to b of all words in a row, their words)."""
+        word = np.searchsorted(self.end, np.arange(a, b), "right")
+        at = self.start[word] + np.arange(a, b) - (self.end[word] - self.count[word])
+        d = self.data[at].astype(np.uint64) << np.uint64(16)
+        d |= self.data[at + 1].astype(np.uint64) << np.uint64(8)
+        d |= self.data[at + 2]
+        return _bucket(d, 9), word
+
+    def keep(self) -> Features:
+        """Hold all n-grams, for training."""
+        self.gram, self.word = self.grams(0, int(self.end[-1]) if len(self.end) else 0)
+        return self
 
     def emissions(self, weights: np.ndarray) -> np.ndarray:
-        """Scores by distinct word and label; 0 for words without letters."""
-        out = weights[self.fixed[:, 0]]
+        """Scores by word and label; 0 for words without letters."""
+        out = weights[self.fixed[:, 0]].astype(np.float64)
         for k in range(1, self.fixed.shape[1]):
-            out = out + weights[self.fixed[:, k]]
-        end = np.cumsum(self.count)
-        begin = end - self.count
-        for a in range(0, len(end), SLAB):
-            own = slice(a, a + SLAB)
-            at = begin[a]
-            grams = self.gram[at : end[own][-1]]
-            total = np.zeros((len(grams) + 1, weights.shape[1]))
-            np.cumsum(weights[grams], axis=0, out=total[1:])
-            out[own] = out[own] + total[end[own] - at] - total[begin[own] - at]
+            out += weights[self.fixed[:, k]]
+        total = int(self.end[-1]) if len(self.end) else 0
+        for a in range(0, total, SLAB):
+            b = min(a + SLAB, total)
+            gram, word = (self.gram[a:b], self.word[a:b]) if hasattr(self, "gram") else self.grams(a, b)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[first]] += np.add.reduceat(weights[gram].astype(np.float64), first, axis=0)
         return out * self.lettered[:, None]
 
     def gradient(self, change: np.ndarray) -> np.ndarray:
@@ -101,10 +110,30 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def transfer(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The scaled matrix that takes what stands before some words to what stands behind them."""
+    labels = transitions.shape[0]
+    step = np.exp(transitions - transitions.max())
+    phi = np.exp(scores - scores.max(1, keepdims=True)) if len(scores) else scores
+    out = np.eye(labels)
+    whole = len(phi) // BLOCK
+    blocks = np.broadcast_to(out, (whole, labels, labels))
+    for t in range(BLOCK if whole else 0):
+        blocks = _scaled((blocks @ step) * phi[t : whole * BLOCK : BLOCK, None, :])
+    for block in blocks:
+        out = out @ block
+        out /= out.sum()
+    for own in phi[whole * BLOCK :]:
+        out = (out @ step) * own
+        out /= out.sum()
+    return out
+
+
+def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(label probabilities of each word, expected transitions) of rows first[r]:first[r + 1], by forward-backward.
 
-    Each row starts from the even distribution, one transition before its first word.
+    Each row starts from the even distribution, one transition before its first word.  before and behind: what
+    comes in from either side instead, where the rows are parts of longer ones.
     """
     labels = transitions.shape[0]
     step = np.exp(transitions - transitions.max())
@@ -131,14 +160,14 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) ->
     entry, leave = np.empty((len(order), labels)), np.empty((len(order), labels))
     last = np.cumsum(blocks) - blocks
     rows = np.argsort(-blocks, kind="stable")
-    left = np.full((len(rows), labels), 1 / labels)
+    left = np.full((len(rows), labels), 1 / labels) if before is None else before[rows]
     deepest = int(blocks.max()) if len(blocks) else 0
     for d in range(deepest):
         n = int(np.searchsorted(-blocks[rows], -d))
         at = back[last[rows[:n]] + d]
         entry[at] = left[:n]
         left[:n] = _scaled((left[:n, None, :] @ whole[at])[:, 0, :])
-    right = np.ones((len(rows), labels))
+    right = np.ones((len(rows), labels)) if behind is None else behind[rows]
     for d in range(deepest - 1, -1, -1):
         n = int(np.searchsorted(-blocks[rows], -d))
         at = back[last[rows[:n]] + d]
@@ -223,12 +252,74 @@ class Model:
             at = to
         return change, expected
 
-    def label(self, column: pa.Array) -> tuple[np.ndarray, Words, Features]:
-        """(label probabilities of every word, the words, their features)."""
-        w = words(column)
-        features = Features(w)
-        post, _ = marginals(features.emissions(self.weights)[features.inverse], w.first, self.transitions)
-        return post, w, features
+    def label(self, column: pa.Array, known: Scores | None = None) -> tuple[np.ndarray, Words, np.ndarray]:
+        """(label probabilities of every word, the words, whether they hold a letter)."""
+        w = words(column, lower=True)
+        scores, lettered = (known or Scores(self)).of(w)
+        return marginals(scores, w.first, self.transitions)[0], w, lettered
+
+    def label_long(self, text: np.ndarray, known: Scores, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As label, for one text of any length (its bytes), in parts: (label probabilities, whether they hold a letter)."""
+        labels = len(self.labels)
+        cuts = [0]
+        while cuts[-1] < len(text):
+            at = cuts[-1] + size
+            while at < len(text):
+                blank = np.flatnonzero(_SPACE[text[at : at + size]])
+                if len(blank):
+                    at += int(blank[0])
+                    break
+                at += size
+            cuts.append(min(at, len(text)))
+        parts = [(a, b) for a, b in zip(cuts, cuts[1:])]
+
+        def scored(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            return known.of(words(pa.array([text[a:b].tobytes()], pa.binary()), lower=True))
+
+        steps = [transfer(scored(a, b)[0], self.transitions) for a, b in parts]
+        behind = [np.ones((1, labels))]
+        for step in reversed(steps[1:]):
+            behind.append(_scaled((step @ behind[-1][0])[None, :]))
+        before = np.full((1, labels), 1 / labels)
+        for (a, b), step in zip(parts, steps):
+            scores, lettered = scored(a, b)
+            yield marginals(scores, np.array([0, len(scores)]), self.transitions, before, behind.pop())[0], lettered
+            before = _scaled(before @ step)
+
+
+class Scores:
+    """Emission scores of words, remembered by hash; forgotten when they are too many."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.scores, self.lettered = np.zeros((0, len(self.model.labels)), np.float32), np.zeros(0, bool)
+
+    def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of every word, whether it holds a letter). w.hash is that of lower-cased words."""
+        keys, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True) if len(self.keys) else np.ones(len(keys), bool))
+        if len(new):
+            if len(self.keys) + len(new) > REMEMBERED:
+                self.clear()
+                new = np.arange(len(keys))
+            order = new[np.argsort(first[new])]  # spans in the order of the text
+            size = w.end[first[order]] - w.start[first[order]]
+            end = np.cumsum(size)
+            data = w.data[np.repeat(w.start[first[order]] - (end - size), size) + np.arange(int(end[-1]))]  # the new words alone
+            one = Features(data, end - size, end)
+            every = np.concatenate([self.keys, keys[order]])
+            by = np.argsort(every, kind="stable")
+            self.keys = every[by]
+            self.scores = np.concatenate([self.scores, one.emissions(self.model.weights).astype(np.float32)])[by]
+            self.lettered = np.concatenate([self.lettered, one.lettered])[by]
+            at = np.searchsorted(self.keys, keys)
+        at = at[inverse]
+        return self.scores[at].astype(np.float64), self.lettered[at]
 
 
 def _vocabulary(texts: list[str]) -> tuple[Features, np.ndarray, np.ndarray]:
@@ -237,9 +328,8 @@ def _vocabulary(texts: list[str]) -> tuple[Features, np.ndarray, np.ndarray]:
     surfaces: list[bytes] = []
     inverse, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for at in range(0, len(texts), 16):
-        w = words(pa.array(texts[at : at + 16], pa.string()))
-        lowered = spans(w.data, w.start, w.end, _LOWER) + (w.end - w.start).astype(np.uint64)
-        keys, first, back = np.unique(lowered, return_index=True, return_inverse=True)
+        w = words(pa.array(texts[at : at + 16], pa.string()), lower=True)
+        keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
         number = np.empty(len(keys), np.int32)
         for j in np.argsort(first).tolist():
             key = int(keys[j])
@@ -250,10 +340,10 @@ def _vocabulary(texts: list[str]) -> tuple[Features, np.ndarray, np.ndarray]:
         inverse.append(number[back])
         counts.append(np.diff(w.first))
     del known
-    joined = b" ".join(surfaces).decode("utf-8", "replace")
-    del surfaces
-    features = Features(words(pa.array([joined], pa.string())))
-    return features, np.concatenate(inverse), np.concatenate(counts)
+    sizes = np.array([len(x) for x in surfaces], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    features = Features(np.frombuffer(b" ".join(surfaces) + b" ", np.uint8), ends - sizes, ends)
+    return features.keep(), np.concatenate(inverse), np.concatenate(counts)
 
 
 def _spliced(first: np.ndarray, lang: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +375,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, characters: int = CHARACTERS) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`")))
     rows = rows.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("l"), F.col(f"`{text_col}`").alias("t"))
@@ -293,11 +383,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model = Model(labels)
     if not labels:
         return model
-    chosen = None
-    for label in labels:
-        own = rows.where(F.col("l") == label).select("i", "l").orderBy(F.xxhash64("i"), "i").limit(per_language)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    sample = rows.join(F.broadcast(chosen.distinct()), ["i", "l"]).select("i", "l", "t").collect()  # per_language rows a language
+    keys = []
+    for label in labels:  # ids and sizes of at most per_language rows a language; the texts follow for those that fit
+        left = characters
+        own = rows.where(F.col("l") == label).select("i", "l", F.char_length("t").alias("n")).orderBy(F.xxhash64("i"), "i", "n")
+        for k, r in enumerate(own.limit(per_language).collect()):
+            if not k or r["n"] <= left:
+                keys.append((r["i"], r["l"], r["n"]))
+                left -= r["n"]
+    sized = rows.select("i", "l", F.char_length("t").alias("n"), "t")
+    chosen = docs.sparkSession.createDataFrame(sorted(set(keys), key=str), sized.drop("t").schema)
+    same = F.col("a.i").eqNullSafe(F.col("b.i")) & (F.col("a.l") == F.col("b.l")) & (F.col("a.n") == F.col("b.n"))
+    found = sized.alias("a").join(F.broadcast(chosen.alias("b")), same, "left_semi")
+    sample = found.groupBy("i", "l", "n").agg(F.min("t").alias("t")).collect()  # of rows that agree in all three, one
     sample.sort(key=lambda r: (r["i"] is None, r["i"], r["l"], r["t"]))
     # languages in turn, so that neighbours differ and passages can be spliced
     return model.fit([r["t"] for r in sample], [r["l"] for r in sample])
@@ -305,11 +403,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _predict(model: Model, with_spans: bool, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            post, w, features = model.label(piece.column("text"))
-            counted = features.lettered[features.inverse]
-            n = len(w.first) - 1
-            share = np.stack([np.bincount(w.row, post[:, k] * counted, n) for k in range(post.shape[1])], 1)
+        known = Scores(model)
+        for piece in pieces(batches, "text", PIECE):
+            n, labels = piece.num_rows, len(model.labels)
+            share, cuts = np.zeros((n, labels)), []
+            data, offsets = buffers(piece.column("text"))
+            if n == 1 and len(data) > PIECE:
+                best = []
+                for post, lettered in model.label_long(data, known):
+                    share[0] += lettered @ post
+                    if with_spans:
+                        best.append(post.argmax(1).astype(np.int16))
+                if with_spans:
+                    best = np.concatenate(best)
+                    cuts = _spans(best, np.array([0, len(best)]), model.labels)
+            else:
+                post, w, lettered = model.label(piece.column("text"), known)
+                share = np.stack([np.bincount(w.row, post[:, k] * lettered, n) for k in range(labels)], 1)
+                if with_spans:
+                    cuts = _spans(post.argmax(1), w.first, model.labels)
             total = share.sum(1)
             best = share.argmax(1)
             good = piece.column("lettered").to_numpy(zero_copy_only=False).astype(bool) & (total > 0)
@@ -317,17 +429,17 @@ def _predict(model: Model, with_spans: bool, with_text: bool):
             lang = [model.labels[k] if ok else "und" for k, ok in zip(best.tolist(), good.tolist())]
             out = [piece.column("row"), pa.array(lang, pa.string()), pa.array(score)]
             if with_spans:
-                out.append(pa.array(_spans(post, w, model.labels), pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))))
+                out.append(pa.array(cuts, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))))
             names = ["row", "lang_pred", "score"] + ["spans"] * with_spans + ["text"] * with_text
             yield pa.RecordBatch.from_arrays(out + [piece.column("text")] * with_text, names)
 
     return run
 
 
-def _spans(post: np.ndarray, w: Words, labels: list[str]) -> list[list[dict]]:
-    best = post.argmax(1)
+def _spans(best: np.ndarray, first: np.ndarray, labels: list[str]) -> list[list[dict]]:
+    """Per row its stretches of words of one label. best: each word's label; first: where rows begin."""
     out = []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         cut = [a, *(a + 1 + np.flatnonzero(best[a + 1 : b] != best[a : b - 1])).tolist()] if b > a else []
         out.append([{"lang": labels[best[x]], "first_word": x - a, "n_words": y - x} for x, y in zip(cut, [*cut[1:], b])])
     return out

@@ -10,7 +10,11 @@ sets' Jaccard similarity J.
 2. 40 bands of 4 registers: at J = 0.75 a pair shares no band with probability 2.5e-7.
 3. A bucket's hub is its most central member: the one with the most company in all its
    buckets.  Every other member meets the hub only (a star, never all pairs), and whole
-   texts are compared exactly: 100 * intersection >= 75 * union is a link.
+   texts are compared exactly: 100 * intersection >= 75 * union is a link.  A pair that
+   meets in buckets of two only is all there is to settle there: it is compared only if the
+   maximum-likelihood estimate of J from both sketches is not five standard errors below
+   0.75 (missed with probability 3e-7).  In larger buckets the comparison with the hub also
+   tells the members' edits, which settle the pairs among them.
 4. Two members o and m of a bucket, o not linked with the hub h, can only be linked with
    each other if (i) they share a shingle that h lacks, or (ii) they mostly left out the
    same of h's shingles.  With a, c the numbers of h's shingles that o, m lack and b, e
@@ -25,7 +29,8 @@ sets' Jaccard similarity J.
 
 Defined results: null text or no words: empty set, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; a row without an id gets no component and
-stays; rows that share an id are one node; other columns are ignored.
+stays; rows that share an id are nodes of their own, with the least id reachable from each
+(so equal rows that repeat an id all stay); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,11 +148,14 @@ def _compare(with_added: bool):
     """mapInArrow function over (b, salt, a, text) sorted by b, salt, hub first (a null): how a's set stands to b's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.zeros(0, np.uint64)
+        hub, own, last = None, np.zeros(0, np.uint64), None
         for piece in pieces(batches, "text"):
             hashes, begin = shingle_sets(words(piece.column("text"), lower=True))
             out, added = [], []
             for r, (b, a) in enumerate(zip(piece.column("b").to_pylist(), piece.column("a").to_pylist())):
+                if (b, a) == last:  # rows that repeat an id
+                    continue
+                last = (b, a)
                 x = hashes[begin[r] : begin[r + 1]]
                 if a is None:
                     hub, own = b, x.copy()
@@ -172,31 +180,53 @@ def _screened(pairs: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, scratch: Scratch, with_added: bool) -> DataFrame:
-    """Written pairs (a, b), b the hub, as a written table (a, b, inter, na, nb, added, linked).
+    """Written pairs (a, b, n), b the hub of a bucket of n, as a written table (a, b, inter, na, nb, added, linked).
 
-    A hub's text travels once for every 512 of its members, which a salt deals out.
+    A hub's text travels once for about every MEMBERS of its members.  The salt that deals them out follows from the
+    bucket's size, which every pair carries: no join or grouping is by hub alone.
     """
     n = storage.partitions(docs.sparkSession)
-    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
     text = docs.select("doc_id", "text").hint("merge")  # pairs grow with the input: never broadcast
-    members = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a")
-    members = members.join(text, F.col("a") == F.col("doc_id")).select("b", "salt", "a", "text")
-    hubs = salts.join(text, F.col("b") == F.col("doc_id")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
-    rows = hubs.unionByName(members).repartition(n, "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    salts = F.ceil(F.col("n") / MEMBERS)
+    pairs = pairs.select("a", "b", salts.alias("salts"), F.pmod(F.xxhash64("a"), salts).alias("salt"))
+    members = pairs.join(text, F.col("a") == F.col("doc_id")).select("b", "salts", "salt", "a", "text")
+    groups = pairs.select("b", "salts", "salt").distinct()
+    hubs = groups.join(text, F.col("b") == F.col("doc_id")).select("b", "salts", "salt", F.lit(None).cast("long").alias("a"), "text")
+    rows = hubs.unionByName(members).repartition(n, "b", "salts", "salt").sortWithinPartitions("b", "salts", "salt", F.col("a").asc_nulls_first())
     out = rows.mapInArrow(_compare(with_added), "a long, b long, inter long, na long, nb long, added array<long>")
     return scratch.write(out.withColumn("linked", F.expr(f"100 * inter >= {PERCENT} * (na + nb - inter)")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stars: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable), kept."""
-    spark = docs.sparkSession
-    storage.small_batches(spark)
-    scratch = Scratch(spark, "near-dedup")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    storage.small_batches(docs.sparkSession)
     rows = scratch.write(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sketch binary"))
+    if _repeats(rows):
+        # an id names different texts: rows get numbers of their own, which the result translates back
+        numbered = scratch.write(docs.withColumn("number", F.monotonically_increasing_id()))
+        own = numbered.select(F.col("number").alias("doc_id"), "text").where(numbered["doc_id"].isNotNull())
+        rows = scratch.write(own.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sketch binary"))
+        found = scratch.write(_near_dedup(rows, own, scratch, stars, numbered))
+        named = numbered.select("number", F.col("doc_id").alias("named")).join(found, F.col("number") == F.col("doc_id"), "left")
+        least = named.groupBy("component_id").agg(F.min("named").alias("least"))
+        none = F.lit(0).cast("long")
+        out = named.drop("doc_id").join(least, "component_id", "left").select(F.col("named").alias("doc_id"), "number", "n_shingles", F.col("least").alias("component_id"))
+        bare = docs.where("doc_id is null").mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sketch binary")
+        out = out.where("doc_id is not null").select("doc_id", F.coalesce("n_shingles", none).alias("n_shingles"), "component_id")
+        out = out.unionByName(bare.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    else:
+        out = _near_dedup(rows, docs, scratch, stars)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _near_dedup(rows: DataFrame, docs: DataFrame, scratch: Scratch, stars: int, *keep: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) from sketches (written) and texts of documents whose ids tell them apart."""
+    spark = docs.sparkSession
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.write(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    reps = classes.select("rep", "n_shingles", "sketch").dropDuplicates(["rep"]) if _repeats(classes) else classes.select("rep", "n_shingles", "sketch")
+    reps = classes.select("rep", "n_shingles", "sketch")
     size = 2 * WIDTH
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {size} + 1, {size})))")
     bands = reps.select("rep", F.explode(keys).alias("key"))
@@ -206,10 +236,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     storage.release(spark)
     checked = rest = labels = None
     for star in range(stars + 1):
-        stars_rows = scratch.write(_hubs(buckets))  # key, rep, hub
-        pairs = stars_rows.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        todo = pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = _compared(scratch.write(todo), docs, scratch, True)
+        stars_rows = scratch.write(_hubs(buckets))  # key, rep, hub, n
+        pairs = stars_rows.where("rep != hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n"))
+        todo = scratch.write(pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        alone = _screened(todo.where("n = 2").select("a", "b"), reps, scratch)
+        new = _compared(todo.where("n > 2").unionByName(alone.withColumn("n", F.lit(2).cast("long"))), docs, scratch, True)
         checked = new if checked is None else checked.unionByName(new)
         labels = components(_links(checked), scratch)
         storage.release(spark)
@@ -226,20 +257,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = rest.join(checked.select(F.col("a").alias(way[0]), F.col("b").alias(way[1])), ["a", "b"], "left_anti")
     screened = _screened(rest, reps, scratch)
     if not screened.isEmpty():
-        links = _links(checked).unionByName(_links(_compared(screened, docs, scratch, False)))
+        sized = Window.partitionBy("b", F.pmod(F.xxhash64("a"), F.lit(64)))  # pairs of one b, at most 64 times as many
+        counted = screened.withColumn("n", 64 * F.count(F.lit(1)).over(sized))
+        links = _links(checked).unionByName(_links(_compared(counted, docs, scratch, False)))
         labels = components(links, scratch)
     storage.release(spark)
     ids = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("label", "rep").alias("label"))
-    # a document with an id but without words stands alone; rows that share an id share the least component
+    # a document with an id but without words stands alone
     out = rows.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    scratch.only(rows, classes, labels, docs, *keep)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _repeats(classes: DataFrame) -> bool:
-    """Whether one id stands for two different sets, as rows repeat an id."""
-    return not classes.groupBy("rep").count().where("count > 1").isEmpty()
+def _repeats(rows: DataFrame) -> bool:
+    """Whether one id names two different sets."""
+    some = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y"))
+    return not some.where("x != y").isEmpty()
 
 
 def _links(checked: DataFrame) -> DataFrame:
@@ -247,10 +281,10 @@ def _links(checked: DataFrame) -> DataFrame:
 
 
 def _hubs(buckets: DataFrame) -> DataFrame:
-    """(key, rep, n) to (key, rep, hub): the member with the most company in all its buckets, the least of equals."""
+    """(key, rep, n) to (key, rep, hub, n): the member with the most company in all its buckets, the least of equals."""
     company = buckets.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("company"))
     best = buckets.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("best"))
-    return buckets.join(best.select("key", (-F.col("best.minus")).alias("hub")), "key").select("key", "rep", "hub")
+    return buckets.join(best.select("key", (-F.col("best.minus")).alias("hub")), "key").select("key", "rep", "hub", "n")
 
 
 def _families(pairs: DataFrame, checked: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Best-fit packing of tokenised documents into sequences, in bulk-synchronous supersteps.
 
 1. Tokenise.  A document becomes its ids and an end id, and is cut every `length` ids.
-   Words are looked up by hash in a bounded table that a Python worker keeps; only words
-   it lacks go through the tokenizer.
+   Words are looked up by hash in a bounded table that a Python worker keeps, and compared
+   with the table's text; only words it lacks go through the tokenizer.  Where two words
+   should share a hash, the piece of text at hand is tokenised without the table.  Words
+   are cut at signs and looked up without their case only for a tokenizer that is found to
+   treat them so (see `WordIds`); for any other, whole texts go through it.
 2. Range-sort the pieces by length (descending), id and piece.  The sorted table is
    written; a piece's rank among pieces of its length is its place in its partition plus
    the counts of that length in earlier partitions.  As partitions are ranges, there are
@@ -35,10 +38,10 @@ from pyspark.sql import functions as F
 
 from barquarry.llm import storage
 from barquarry.llm.storage import Scratch
-from barquarry.llm.words import _LOWER, _SPACE, _VALUES, buffers, mix, pieces, spans
+from barquarry.llm.words import _LOWER, _SPACE, buffers, mix, pieces, spans
 
 LENGTH, END_ID = 4096, 1
-CACHE = 2_000_000  # words that a worker remembers
+CACHE = 500_000  # words that a worker remembers
 _TOKENIZERS: dict[str, WordIds] = {}
 
 _ALNUM = np.zeros(256, bool)
@@ -49,22 +52,109 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<|>"]] = True
 
 
-class WordIds:
-    """Token ids of words, remembered by 64-bit hash in two sorted tables: a large and a recent one."""
+class Known:
+    """Ids of strings, remembered by 64-bit hash with the strings themselves; forgotten when they are too many."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes and their rows below
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids in flat
+        self.flat = np.zeros(0, np.int32)
+        self.text, self.text_at, self.text_n = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each string)."""
+        raise NotImplementedError
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[i] == keys, self.at[i], -1)
+
+    def learn(self, keys: np.ndarray, surfaces: list[str], shown: list[bytes]) -> None:
+        ids, count = self.encode(surfaces)
+        size = np.array([len(x) for x in shown], np.int64)
+        row = len(self.begin) + np.arange(len(keys))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, ids])
+        self.text_at = np.concatenate([self.text_at, len(self.text) + np.cumsum(size) - size])
+        self.text_n = np.concatenate([self.text_n, size])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(shown), np.uint8)])
+        every, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, row])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.at = every[order], at[order]
+
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, shown: np.ndarray, surface) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings data[start:end] one after the other, where each one's begin, one more at the end).
+
+        shown: the bytes by which strings are told apart, at the places of data; surface(i): what is encoded for string i.
+        """
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        row = self.find(keys)
+        if (new := np.flatnonzero(row < 0)).size:
+            if len(self.keys) + len(new) > CACHE:
+                self.clear()
+                new = np.arange(len(keys))
+            whole = shown.tobytes()
+            i = first[new].tolist()
+            self.learn(keys[new], [surface(x) for x in i], [whole[start[x] : end[x]] for x in i])
+            row = self.find(keys)
+        row = row[inverse]
+        if not self._same(row, start, end, shown):
+            ids, count = self.encode([surface(x) for x in range(len(start))])
+            return ids, np.concatenate([[0], np.cumsum(count)])
+        n = self.count[row]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.begin[row] - total[:-1], n) + np.arange(total[-1])], total
+
+    def _same(self, row: np.ndarray, start: np.ndarray, end: np.ndarray, shown: np.ndarray) -> bool:
+        """Whether the strings are those that the table has in these rows."""
+        n = end - start
+        if np.any(self.text_n[row] != n):
+            return False
+        for a in range(0, len(row), 1 << 15):
+            m = n[a : a + (1 << 15)]
+            begin = np.cumsum(m) - m
+            inner = np.arange(int(m.sum())) - np.repeat(begin, m)
+            if np.any(shown[np.repeat(start[a : a + (1 << 15)], m) + inner] != self.text[np.repeat(self.text_at[row[a : a + (1 << 15)]], m) + inner]):
+                return False
+        return True
+
+
+class WordIds(Known):
+    """Token ids of words.
+
+    apart: the tokenizer's ids of a text are those of its words, cut at signs and taken without their case, one after
+    the other.  That is so if its normaliser drops case and its pre-tokeniser cuts at white space and around signs;
+    it is tried on a text of all ASCII characters in pairs before it is relied on.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
-        self.flat = np.zeros(0, np.int32)
+        super().__init__()
+        self.apart = self._apart()
+
+    def _apart(self) -> bool:
+        signs = [chr(i) for i in range(33, 127)]
+        tries = ["".join(f"a{x}B{x}{y} {x} c{y}D" for y in signs) for x in signs] + ["Two  Words\t and\r\nLines \x0b\x0c here ", "Ünïted ÉTÉ straße 123abc Abc's don't 12.5 a_b", ""]
+        for text in tries:
+            data = np.frombuffer(text.encode(), np.uint8)
+            start, end = _parts(data, np.array([0, len(data)]))
+            whole = data.tobytes()
+            own = [whole[a:b].decode().lower() if whole[a:b].isascii() and b"<" not in whole[a:b] else whole[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+            if self.encode(own)[0].tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                return False
+        return True
 
     def encode(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each word) of words without white space at their ends."""
         ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(surfaces), 20_000):
             part = surfaces[at : at + 20_000]
@@ -73,30 +163,6 @@ class WordIds:
             counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in flat or -1, length) of sorted hashes."""
-        place, length = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        for keys, begin, count in self.tables:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                place[hit], length[hit] = begin[at[hit]], count[at[hit]]
-        return place, length
-
-    def learn(self, hashes: np.ndarray, surfaces: list[str]) -> None:
-        ids, count = self.encode(surfaces)
-        begin = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, ids])
-        self.tables[1] = self._merged(self.tables[1], (hashes, begin, count))
-        if len(self.tables[1][0]) * 4 > len(self.tables[0][0]):
-            self.tables = [self._merged(*self.tables), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-
-    @staticmethod
-    def _merged(a: tuple, b: tuple) -> tuple:
-        keys = np.concatenate([a[0], b[0]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
-
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of the parts that are tokenised apart: words, cut between an ASCII sign and an ASCII letter or digit."""
@@ -118,26 +184,22 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     known = _TOKENIZERS.setdefault(path, None) or WordIds(path)
     _TOKENIZERS[path] = known
     data, offsets = buffers(column)
+    if not known.apart:
+        whole = data.tobytes()
+        found = [known.tokenizer.encode(whole[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.array([x for ids in found for x in ids], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
     start, end = _parts(data, offsets)
-    raw = spans(data, start, end, _VALUES)
     # plain ASCII words are looked up without their case, as the normaliser drops it
-    odd = np.concatenate([[0], np.cumsum((data >= 128) | (data == ord("<")))])
+    odd = np.concatenate([[0], np.cumsum((data >= 128) | (data == ord("<")), dtype=np.int32)])
     plain = odd[end] == odd[start]
-    keys = mix(np.where(plain, spans(data, start, end, _LOWER), ~raw) + (end - start).astype(np.uint64))
-    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    place, length = known.find(keys)
-    if (new := np.flatnonzero(place < 0)).size:
-        if len(known.tables[0][0]) + len(known.tables[1][0]) + len(new) > CACHE:
-            known.clear()
-            new = np.arange(len(keys))
-        whole = data.tobytes()
-        known.learn(keys[new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-        place, length = known.find(keys)
-    n = length[inverse]
-    total = np.cumsum(n)
-    flat = known.flat[np.repeat(place[inverse] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
-    begin = np.concatenate([[0], total])[np.searchsorted(start, offsets)]
-    return flat, begin
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[plain]] = 1
+    edge[end[plain]] -= 1
+    shown = np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, _LOWER[data], data)
+    keys = mix(spans(shown, start, end) + (end - start).astype(np.uint64))
+    whole = data.tobytes()
+    flat, at = known.look_up(data, start, end, keys, shown, lambda i: whole[start[i] : end[i]].decode("utf-8", "replace"))
+    return flat, at[np.searchsorted(start, offsets)]
 
 
 def cut_pieces(path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False):
@@ -247,6 +309,7 @@ def best_fit(cut: DataFrame, length: int = LENGTH, scratch: Scratch | None = Non
     schema = ",".join(f"`{x.name}` {x.dataType.simpleString()}" for x in cut.schema) + ", sequence_id long, offset long"
     if not found:
         return spark.createDataFrame([], schema)
+    scratch.only(ranged)
     totals: dict[int, int] = {}
     offsets = {}
     for r in sorted(found, key=lambda r: r["part"]):

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquarry.llm import storage
-from barquarry.llm.packing import CACHE, WordIds
-from barquarry.llm.words import _VALUES, buffers, mix, pieces, spans
+from barquarry.llm.packing import Known
+from barquarry.llm.words import buffers, mix, pieces, spans
 
 ESCAPE = "▁"
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -240,12 +240,12 @@ class Transducer:
         return np.fromiter((x for f in found for x in f), np.int32, int(counts.sum())), counts
 
 
-class ChunkIds(WordIds):
+class ChunkIds(Known):
     """Ids of chunks, remembered by hash."""
 
     def __init__(self, fst: Transducer):
         self.fst = fst
-        self.clear()
+        super().__init__()
 
     def encode(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.fst.encode_chunks(surfaces)
@@ -271,21 +271,11 @@ def encode(column: pa.Array, fst: Transducer, known: ChunkIds) -> tuple[np.ndarr
     start = np.flatnonzero(head)
     end = np.append(start[1:], len(data))
     first_of_row = opens[start] & fst.prefix
-    keys = mix(spans(data, start, end, _VALUES) + (end - start).astype(np.uint64))
+    keys = mix(spans(data, start, end) + (end - start).astype(np.uint64))
     keys = np.where(first_of_row, mix(keys ^ np.uint64(0xA5A5A5A5)), keys)
-    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    place, length = known.find(keys)
-    if (new := np.flatnonzero(place < 0)).size:
-        if len(known.tables[0][0]) + len(known.tables[1][0]) + len(new) > CACHE:
-            known.clear()
-            new = np.arange(len(keys))
-        whole = data.tobytes()
-        known.learn(keys[new], [(ESCAPE if p else "") + whole[a:b].decode("utf-8", "replace").replace(" ", ESCAPE) for a, b, p in zip(start[first[new]].tolist(), end[first[new]].tolist(), first_of_row[first[new]].tolist())])
-        place, length = known.find(keys)
-    n = length[inverse]
-    total = np.cumsum(n)
-    flat = known.flat[np.repeat(place[inverse] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
-    return flat, np.concatenate([[0], total])[np.searchsorted(start, offsets)]
+    whole = data.tobytes()
+    flat, at = known.look_up(data, start, end, keys, data, lambda i: (ESCAPE if first_of_row[i] else "") + whole[start[i] : end[i]].decode("utf-8", "replace").replace(" ", ESCAPE))
+    return flat, at[np.searchsorted(start, offsets)]
 
 
 def decode(flat: np.ndarray, begin: np.ndarray, fst: Transducer) -> list[bytes]:

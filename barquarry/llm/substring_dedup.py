@@ -4,24 +4,30 @@ A window is `window` consecutive words.  It is a repeat if the same word sequenc
 starts earlier: in a document with a smaller id, or earlier in the same document.
 
 *Fingerprint.*  A window is identified by its anchor (64 bits: the least mixed hash among
-the 8-grams inside it) and a second hash of its own 20 words (64 bits, stored whole).
-Windows that follow each other mostly share their anchor, so a run stores the anchor
-once per segment and 8 bytes per window.  An anchor match alone is never a repeat: each
-is verified by the second hash over the whole word sequence; the words themselves are not
-compared.  Anchors are not independent of each other: a frequent 8-gram is the anchor of
-many different windows, and only the second hash tells those apart.  With n windows under
-one anchor n * n / 2**65 false pairs are to be expected: 1e-8 for 650,000 windows (a line
-in 50,000 documents, 13 windows each), one at 6e9 windows under a single anchor.
+the 8-grams inside it) and a second hash of its own 20 words (64 bits, stored whole).  The
+two derive from independent functions of the words' bytes.  Windows that follow each other
+mostly share their anchor, so a run stores the anchor once per segment and 8 bytes per
+window.  An anchor match alone is never a repeat: each is verified by the second hash over
+the whole word sequence; the words themselves do not travel and are not compared.  A
+frequent 8-gram is the anchor of many different windows, and only the second hash tells
+those apart: with n windows under one anchor n * n / 2**65 false pairs are to be expected:
+1e-8 for 650,000 windows (a line in 50,000 documents, 13 windows each), one at 6e9 windows
+under a single anchor.
 
 *Runs.*  Every piece of text (about 4 MB) is cut into sorted immutable runs, one per
 shard of the anchor space.  Within the piece only the first copy of a window goes into
 the run; later ones are settled on the spot.  Hence a passage that a third of all rows
 hold arrives once per piece, and shards stay even.
 
-*Merge.*  Per shard, new runs are merge-joined with the historical ones; the earliest
-owner of each fingerprint stands, all others are repeats.  `FingerprintIndex.ingest`
-writes the new runs beside the old; after `fanout` levels a shard's runs are compacted
-into one that holds each fingerprint's earliest owner only.
+*Merge.*  Per shard, new runs are joined with the historical ones by one ordered pass over
+(anchor, window hash, document, start); the earliest owner of each fingerprint stands, all
+others are repeats.  A shard is worked on in one worker; there are as many as shuffle
+partitions, or as many as hold about 64 MB of runs each if that is more.
+
+*Index.*  `FingerprintIndex.ingest` writes the new runs beside the old; after `fanout`
+batches all runs are compacted into one that holds each fingerprint's earliest owner only,
+and the replaced ones are deleted.  A manifest, replaced by renaming, names the runs that
+count: an index is reopened from its folder, and what a lost driver left unnamed is ignored.
 
 *Answer.*  Repeats go back as ranges of window starts by document key, next to the
 documents themselves, and the words that they cover are removed.
@@ -35,6 +41,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquarry.llm import storage
-from barquarry.llm.words import mix, pieces, spans, words
+from barquarry.llm.words import mix, pieces, words
 
 WINDOW = 20
 ANCHOR = 8  # words of an anchor; at most the window
@@ -99,7 +107,7 @@ def cut_runs(shards: int, window: int = WINDOW, size: int = 1 << 22):
     """mapInArrow function: (doc_id, key, text) to runs by shard, and answers that need no merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", size):
+        for piece in pieces(batches, "text", size, 65_535):
             out: list[tuple] = []
             ids = piece.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
@@ -113,7 +121,7 @@ def cut_runs(shards: int, window: int = WINDOW, size: int = 1 << 22):
                 continue
             gram, _ = w.grams(k)
             anchor = _least(gram[: len(gram) - k + 1], window - k + 1)[at]
-            own = mix(spans(w.hash, at, at + window) ^ np.uint64(window))
+            own = w.grams(window, w.second())[0][at]
             row, start = w.row[at], at - w.first[w.row[at]]
             # only the first copy here goes on; rows that repeat an id are each other's equals
             both = mix(anchor + own)
@@ -273,16 +281,34 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Historical window fingerprints, as immutable sorted runs in a folder of their own.
+    """Historical window fingerprints, as immutable sorted runs in a folder of their own; an existing one is reopened.
 
     path None: no history; a batch is then judged against itself only.
     """
 
     def __init__(self, spark, path: str | None = None, window: int = WINDOW, shards: int | None = None, fanout: int = 4):
-        self.spark, self.path, self.window, self.fanout = spark, path, window, fanout
-        self.shards = shards or max(4, storage.partitions(spark))
+        self.spark, self.path, self.window, self.fanout = spark, path and path.rstrip("/"), window, fanout
+        self.shards = shards
         self.runs: list[str] = []
-        self.made = 0
+        self.version = 0
+        if path:
+            found = max(storage.names(spark, self.path, "manifest-"), default=None)
+            if found:
+                said = json.loads(storage.read_text(spark, f"{self.path}/{found}"))
+                self.runs, self.version = [f"{self.path}/{x}" for x in said["runs"]], int(found.split("-")[1])
+                if said["window"] != window or shards not in (None, said["shards"]):
+                    raise ValueError("the index has other windows or shards")
+                self.shards = said["shards"]
+
+    def _commit(self, runs: list[str]) -> None:
+        """Make these the runs that count."""
+        self.version += 1
+        own = {"window": self.window, "shards": self.shards, "runs": [x.rsplit("/", 1)[1] for x in runs]}
+        storage.write_text(self.spark, f"{self.path}/manifest-{self.version:09d}", json.dumps(own))
+        gone = [x for x in self.runs if x not in runs]
+        self.runs = runs
+        for x in gone:
+            storage.delete(self.spark, x)
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
         """Judge a batch, whose ids are larger than all earlier ones or not, against the index and itself.
@@ -292,32 +318,42 @@ class FingerprintIndex:
         A batch judges its own documents; those of earlier batches are not judged again.
         """
         storage.small_batches(self.spark)
+        if self.shards is None:
+            least = max(4, storage.partitions(self.spark))
+            self.shards = min(64 * least, max(least, 3 * storage.input_bytes(docs) // (1 << 26)))
         keyed = _keyed(docs, id_col, text_col)
         new = keyed.select("doc_id", "key", "text").mapInArrow(cut_runs(self.shards, self.window), RUN)
-        if self.path:
-            self.made += 1
-            at = f"{self.path}/run-{self.made:06d}"
-            new.write.parquet(at)
-            new = self.spark.read.schema(new.schema).parquet(at)
         known = new
-        for run in self.runs:
-            known = known.unionByName(self.spark.read.schema(new.schema).parquet(run).where(F.col("kind") == _RUN).withColumn("level", F.lit(1)))
         if self.path:
-            self.runs.append(at)
+            at = f"{self.path}/run-{uuid.uuid4().hex}"
+            new.write.parquet(at)
+            known = self._read(at, 0)
+            for run in self.runs:
+                known = known.unionByName(self._read(run, 1).where(F.col("kind") == _RUN))
         merged = known.groupBy("place").applyInArrow(merge_shard(self.shards, False), RUN).where(F.col("kind") == _ANSWER)
-        if self.path and len(self.runs) > self.fanout:
-            self._compact()
+        if self.path:
+            # the answer is settled before older runs may go
+            answers = f"{self.path}/answers-{uuid.uuid4().hex}"
+            merged.write.parquet(answers)
+            storage.delete_at_end(self.spark, answers)
+            merged = self.spark.read.schema(RUN).parquet(answers)
+            self._commit([*self.runs, at])
+            if len(self.runs) > self.fanout:
+                self._compact()
         return self._apply(keyed, merged, with_text)
 
+    def _read(self, run: str, level: int) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(run).withColumn("level", F.lit(level))
+
     def _compact(self) -> None:
         """Replace all runs by one that holds the earliest owner of each fingerprint."""
-        at = f"{self.path}/compact-{self.made:06d}"
+        at = f"{self.path}/run-{uuid.uuid4().hex}"
         runs = None
         for run in self.runs:
-            one = self.spark.read.parquet(run).where(F.col("kind") == _RUN)
+            one = self._read(run, 1).where(F.col("kind") == _RUN)
             runs = one if runs is None else runs.unionByName(one)
         runs.groupBy("place").applyInArrow(merge_shard(self.shards, True), RUN).where((F.col("kind") == _RUN) & (F.col("level") == 1)).write.parquet(at)
-        self.runs = [at]
+        self._commit([at])
 
     def _apply(self, keyed: DataFrame, merged: DataFrame, with_text: bool) -> DataFrame:
         none = F.lit(None)

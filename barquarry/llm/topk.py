@@ -210,6 +210,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     again = queries.drop("limit").join(limit, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vec", F.coalesce("limit", F.lit(none)).alias("limit"), F.coalesce("seen", F.lit(-1).cast("long")).alias("seen"))
     two = scratch.write(met(again, False))
     storage.small_batches(spark)
+    scratch.only(one, two)
     both = one.unionByName(two)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquarry.llm import storage
-from barquarry.llm.words import _LOWER, mix, pieces, spans, words
+from barquarry.llm.words import mix, pieces, spans, words
 
 SAMPLE, FOLDS, BUCKETS = 8_000, 5, 1 << 18
 CHANCE = 5.0  # standard errors by which a feature's share of a class must differ
@@ -52,7 +52,7 @@ def features(column: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarr
     row, found = [], []
     for kind, n in enumerate((1 << 30, 4, 5, 6)):
         cut = np.minimum(s + n, e)
-        whole = mix(spans(w.data, s, cut, _LOWER) + (cut - s + 64 * kind).astype(np.uint64))
+        whole = mix(spans(w.data, s, cut, True) + (cut - s + 64 * kind).astype(np.uint64))
         bucket = (whole >> np.uint64(64 - 18)).astype(np.int64)
         good = slice(None) if used is None else used[bucket]
         row.append(w.row[some][good])

@@ -258,6 +258,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     flat = scratch.write(_whole(read(spark, path, with_payload=False)))
     if (n := flat.count()) != (of := pages.count()):
         raise ValueError(f"{n} captures read back of {of} pages")
+    storage.delete(spark, path)
     target = flat.where("record_type = 'response'").select(F.col("record").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("size"))
     out = flat.join(target, "refers_id", "left")
     good = (F.col("record_type") == "response") | ((F.col("digest") == F.col("of")) & (F.col("payload_bytes") == F.col("size")))

@@ -2,8 +2,10 @@
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D.  Those bytes never occur
 inside a multi-byte UTF-8 character, so boundaries are found on the raw buffer and
-no Python object is made per word.  Hashes are polynomials modulo 2**64 over random
-byte values, taken from one running sum, then mixed with the length.
+no Python object is made per word.  A word's hash is the sum of one random 64-bit value
+for each (place in the word, byte), mixed with its length: unlike a polynomial, such a
+sum has no family of texts that collide for every choice of the values.  Hashes of n
+words join those of their halves by a mixed, ordered sum, again and again.
 """
 
 from __future__ import annotations
@@ -14,25 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21  # bytes of text that are worked on at once
-_SLAB = 1 << 19  # items covered by one running sum
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_rng = np.random.default_rng(20_240_229)
-_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _VALUES.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, _SLAB + 1)
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_B, inverse)]
-    return _POWERS[0], _POWERS[1]
+PIECE = 1 << 20  # bytes of text that are worked on at once
+_SLAB = 1 << 18  # bytes covered by one running sum
+_PLACES = 64  # places in a word that have a table of their own; values of later ones are mixed from place and byte
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,23 +31,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-    """Polynomial hash of values[start:end] for sorted spans; table maps bytes to values."""
-    out = np.empty(len(start), np.uint64)
+def _table(seed: int) -> np.ndarray:
+    """A random value for each place below _PLACES and byte."""
+    return np.random.default_rng(seed).integers(0, 2**64, _PLACES * 256, dtype=np.uint64)
+
+
+FIRST, SECOND = 20_240_229, 77_003_141  # seeds of two independent hash functions
+_TABLES = {seed: _table(seed) for seed in (FIRST, SECOND)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = FIRST) -> np.ndarray:
+    """Hashes of the bytes data[start:end] of sorted spans that do not overlap, without their lengths. lower: A-Z count as a-z."""
+    out = np.zeros(len(start), np.uint64)
+    table = _TABLES[seed]
     i = 0
     while i < len(start):
         a = int(start[i])
         j = max(i + 1, int(np.searchsorted(end, a + _SLAB, "right")))
-        part = values[a : int(end[j - 1])]
-        power, inverse = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((table[part] if table is not None else part) * power[: len(part)], out=total[1:])
-        s = start[i:j] - a
-        out[i:j] = (total[end[i:j] - a] - total[s]) * inverse[s]
+        if j == i + 1 and int(end[i]) - a > _SLAB:  # one long span, a slab at a time
+            for x in range(a, int(end[i]), _SLAB):
+                y = min(x + _SLAB, int(end[i]))
+                out[i : i + 1] += _values(data[x:y], np.arange(x - a, y - a), table, lower, seed).sum(dtype=np.uint64)
+            i = j
+            continue
+        first, size = start[i:j] - a, int(end[j - 1]) - a
+        place = np.arange(size, dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(np.append(first, size)))
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_values(data[a : a + size], place, table, lower, seed), out=total[1:])
+        out[i:j] = total[end[i:j] - a] - total[first]
         i = j
     return out
 
 
+def _values(part: np.ndarray, place: np.ndarray, table: np.ndarray, lower: bool, seed: int) -> np.ndarray:
+    """The random value of each byte at its place."""
+    part = _LOWER[part] if lower else part
+    at = (place << 8) | part
+    far = np.flatnonzero(at >= len(table))
+    if not len(far):
+        return table[at]
+    out = table[np.minimum(at, len(table) - 1)]
+    out[far] = mix(at[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return out
+
+
+def joined(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n values from each place on, in order; the last n - 1 places have none."""
+    size = max(0, len(h) - n + 1)
+    now, width, out, done = h, 1, None, 0
+    while True:
+        if n & width:  # binary digits of n: the parts are taken from the front
+            part = now[done : done + size]
+            out = part if out is None else mix(out * np.uint64(0xD1342543DE82EF95) + part + np.uint64(done))
+            done += width
+        if done == n:
+            return mix(out + np.uint64(n))
+        now = mix(now[:-width] * np.uint64(0xDA942042E4DD58B5) + now[width:]) if len(now) > width else now[:0]
+        width *= 2
+
+
 @dataclass
 class Words:
     """Words of some rows. first[r]:first[r + 1] are the words of row r."""
@@ -74,14 +106,17 @@ class Words:
     first: np.ndarray
     hash: np.ndarray
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of the n words from each word on, whether they are all in one row)."""
+    def grams(self, n: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the n words from each word on, whether they are all in one row). h: other hashes of the words."""
         at = np.arange(len(self.hash))
-        whole = at + n <= self.first[self.row + 1]
         out = np.zeros(len(at), np.uint64)
         if (m := len(at) - n + 1) > 0:
-            out[:m] = mix(spans(self.hash, at[:m], at[:m] + n) + np.uint64(n))
-        return out, whole
+            out[:m] = joined(self.hash if h is None else h, n)
+        return out, at + n <= self.first[self.row + 1]
+
+    def second(self) -> np.ndarray:
+        """Hashes of the words by the second function, as independent of the first as two random ones."""
+        return mix(spans(self.data, self.start, self.end, seed=SECOND) + (self.end - self.start).astype(np.uint64))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,19 +146,19 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    raw = spans(data, start, end, _LOWER if lower else _VALUES)
+    raw = spans(data, start, end, lower)
     return Words(data, offsets, start, end, row, first, mix(raw + (end - start).astype(np.uint64)))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `size` bytes of text; a longer row stands alone."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of text and at most `rows` rows; a longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = buffers(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 

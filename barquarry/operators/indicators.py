@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,15 +38,28 @@ def with_atr_sma(bars: DataFrame, n: int = 14) -> DataFrame:
     return with_true_range(bars).withColumn("atr_sma", mean(F.col("tr"), n, max(2, n // 2)))
 
 
-def with_atr_wilder(bars: DataFrame, n: int = 14, memory: int = 400) -> DataFrame:
+def with_atr_wilder(bars: DataFrame, n: int = 14, block: int = 256) -> DataFrame:
     """Wilder's average: a(0) = tr(0), a(t) = a(t-1) + (tr(t) - a(t-1)) / n; null before n values.
 
-    The fold runs over the last `memory` rows only: what came before weighs less than
-    (1 - 1/n) ** memory (1e-13 at 14 and 400), so a long history costs no growing arrays.
+    In blocks of bars: a(t) is the weighted sum of its own block up to t and the average at the block before's end,
+    which follows from the blocks' own sums.  Those of so many blocks are folded that what came before weighs less
+    than 1e-17 of its value, whatever n is: no frame grows with the history, and no frame is longer than 38 n / block.
     """
-    rows = F.collect_list("tr").over(last(memory))
-    fold = F.aggregate(F.slice(rows, 2, memory), F.element_at(rows, 1), lambda a, x: a + (x - a) / n)
-    return with_true_range(bars).withColumn("atr", F.when(F.col("bar_no") >= n - 1, fold))
+    q = 1 - 1 / n
+    block = min(block, max(8, int(600 / -math.log(q)) if n > 1 else block))  # powers of q stay in range
+    back = 1 + math.ceil(39 * n / block)
+    rows = with_true_range(bars).withColumns({"_block": F.expr(f"bar_no div {block}"), "_at": (F.col("bar_no") % block).cast("double")})
+    if n == 1:
+        return rows.withColumn("atr", F.col("tr")).drop("_block", "_at")
+    share = F.when(F.col("bar_no") == 0, F.col("tr")).otherwise(F.col("tr") / n) * F.pow(F.lit(q), -F.col("_at"))
+    inside = Window.partitionBy("symbol", "_block").orderBy("bar_no")
+    rows = rows.withColumn("_own", F.sum(share).over(inside) * F.pow(F.lit(q), F.col("_at")))
+    ends = rows.where(F.col("_at") == block - 1).select("symbol", (F.col("_block") + 1).alias("_block"), F.col("_own").alias("_end"))
+    order = Window.partitionBy("symbol").orderBy("_block").rowsBetween(-back, 0)
+    folded = F.aggregate(F.collect_list("_end").over(order), F.lit(0.0), lambda a, x: a * (q**block) + x)
+    rows = rows.join(ends.select("symbol", "_block", folded.alias("_before")), ["symbol", "_block"], "left")
+    whole = F.col("_own") + F.coalesce("_before", F.lit(0.0)) * F.pow(F.lit(q), F.col("_at") + 1)
+    return rows.withColumn("atr", F.when(F.col("bar_no") >= n - 1, whole)).select(*bars.columns, "tr", "atr")
 
 
 def percentile_rank(x: Column, n: int, least: int | None = None) -> Column:

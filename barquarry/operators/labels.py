@@ -32,26 +32,44 @@ def factor_samples(bars: DataFrame, lag: int = 20, horizon: int = 20, stride: in
 
 
 def triple_barrier(bars: DataFrame, horizon: int = 20, profit: float = 2.0, stop: float = 2.0, side: int = 1, stride: int = 3, lookback: int = 120) -> DataFrame:
-    """First touch of a profit or stop barrier (in ATR shares of the entry's close) within the horizon; the stop wins ties.
+    """First touch of a profit or stop barrier (in ATR shares of the entry's close) within the horizon; the stop wins ties."""
+    share = F.col("atr_sma") / F.col("close")
+    every = ind.with_atr_sma(bars)
+    bets = sampled(every, lookback, stride, 0).select("symbol", "bar_no", F.col("close").alias("price"), F.when(share > 0, share).otherwise(0.01).alias("v"), F.lit(side).alias("side"))
+    return triple_barrier_at(bars, bets, horizon, profit, stop).drop("side").withColumnRenamed("bar_no", "entry")
+
+
+def triple_barrier_at(bars: DataFrame, bets: DataFrame, horizon: int = 20, profit: float = 2.0, stop: float = 2.0) -> DataFrame:
+    """Bets (symbol, bar_no, price, v, side) with what becomes of them: outcome, ret, win, exit (bar), holding (bars).
 
-    A range join on symbol and bar: at most `horizon` rows a decision, reduced before anything else sees them.
+    Bets and bars meet by symbol and span of `horizon` bars: a bet is compared with at most two spans however long the
+    history is.  A bet on the last bar ends where it began, with outcome 0 and return 0.
     """
-    every = ind.with_atr_sma(bars)
-    share = F.col("atr_sma") / F.col("close")
-    pick = sampled(every, lookback, stride, 0).select("symbol", F.col("bar_no").alias("entry"), F.col("close").alias("price"), F.when(share > 0, share).otherwise(0.01).alias("v"))
-    up, down = F.col("price") * (1 + (profit if side > 0 else stop) * F.col("v")), F.col("price") * (1 - (stop if side > 0 else profit) * F.col("v"))
-    pick = pick.withColumns({"up": up, "down": down})
-    ahead = bars.select("symbol", "bar_no", "high", "low", "close")
-    met = pick.join(ahead, "symbol").where(F.col("bar_no").between(F.col("entry") + 1, F.col("entry") + horizon))
-    hit_up, hit_down = F.col("high") >= F.col("up"), F.col("low") <= F.col("down")
-    lost, won = (hit_down, hit_up) if side > 0 else (hit_up, hit_down)
-    out = met.groupBy("symbol", "entry", "price", "up", "down").agg(F.min(F.when(lost, F.col("bar_no"))).alias("lost"), F.min(F.when(won, F.col("bar_no"))).alias("won"), F.max(F.struct("bar_no", "close")).alias("end"))
+    long = F.col("side") > 0
+    up = F.col("price") * (1 + F.when(long, profit).otherwise(stop) * F.col("v"))
+    down = F.col("price") * (1 - F.when(long, stop).otherwise(profit) * F.col("v"))
+    span = F.explode(F.sequence(F.expr(f"bar_no div {horizon}"), F.expr(f"(bar_no + {horizon}) div {horizon}")))
+    bets = bets.select("symbol", F.col("bar_no").alias("entry"), "price", "side", up.alias("up"), down.alias("down"), span.alias("span"))
+    ahead = bars.select("symbol", "bar_no", "high", "low", "close", F.expr(f"bar_no div {horizon}").alias("span"))
+    met = bets.join(ahead, ["symbol", "span"]).where(F.col("bar_no").between(F.col("entry"), F.col("entry") + horizon))
+    later = F.col("bar_no") > F.col("entry")  # the entry's own bar only keeps bets without a later one
+    hit_up, hit_down = later & (F.col("high") >= F.col("up")), later & (F.col("low") <= F.col("down"))
+    lost, won = (long & hit_down) | (~long & hit_up), (long & hit_up) | (~long & hit_down)
+    out = met.groupBy("symbol", "entry", "price", "side", "up", "down").agg(F.min(F.when(lost, F.col("bar_no"))).alias("lost"), F.min(F.when(won, F.col("bar_no"))).alias("won"), F.max(F.struct("bar_no", "close")).alias("end"))
     out = out.withColumn("outcome", F.when(F.col("lost").isNotNull() & (F.col("won").isNull() | (F.col("lost") <= F.col("won"))), -1).when(F.col("won").isNotNull(), 1).otherwise(0))
-    stop_price, goal = ("down", "up") if side > 0 else ("up", "down")
-    price = F.when(F.col("outcome") == -1, F.col(stop_price)).when(F.col("outcome") == 1, F.col(goal)).otherwise(F.col("end.close"))
+    stop_price, goal = F.when(long, F.col("down")).otherwise(F.col("up")), F.when(long, F.col("up")).otherwise(F.col("down"))
+    price = F.when(F.col("outcome") == -1, stop_price).when(F.col("outcome") == 1, goal).otherwise(F.col("end.close"))
     at = F.when(F.col("outcome") == -1, F.col("lost")).when(F.col("outcome") == 1, F.col("won")).otherwise(F.col("end.bar_no"))
-    ret = side * (price / F.col("price") - 1)
-    return out.select("symbol", "entry", "outcome", ret.alias("ret"), (ret > 0).cast("int").alias("win"), at.alias("exit"), (at - F.col("entry")).alias("holding"))
+    ret = F.col("side") * (price / F.col("price") - 1)
+    return out.select("symbol", F.col("entry").alias("bar_no"), "side", "outcome", ret.alias("ret"), (ret > 0).cast("int").alias("win"), at.alias("exit"), (at - F.col("entry")).alias("holding"))
+
+
+def holding_histogram(labels: DataFrame, horizon: int = 20) -> DataFrame:
+    """Per symbol and holding period (1 to the horizon): bets and wins; with them the mean holding of won and lost bets."""
+    held = F.greatest(F.lit(1), F.least(F.lit(horizon), F.col("holding"))).cast("long")
+    by = labels.groupBy("symbol", held.alias("holding")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("win").cast("long")).alias("wins"))
+    means = labels.groupBy("symbol").agg(F.avg(F.when(F.col("win") == 1, F.col("holding"))).alias("mean_won"), F.avg(F.when(F.col("win") == 0, F.col("holding"))).alias("mean_lost"))
+    return by.join(means, "symbol")
 
 
 def holding_stats(labels: DataFrame, horizon: int = 20) -> DataFrame:
@@ -74,6 +92,7 @@ def panel(bars: DataFrame, horizon: int = 20, rebalance: int = 5, least: int = 5
     out = bars.withColumn("ret", ind.change(c))
     out = out.withColumns({"mom": ind.change(c, 20), "mom_long": ind.change(c, 120, 20), "vol": ind.realised_vol(F.col("ret"), 60), "trend": ind.mean(v, 20) / F.nullif(ind.mean(v, 60), F.lit(0.0)) - 1})
     out = with_forward_return(out, horizon)
+    # a row for each date, however many names there are
     days = bars.select("ts").distinct().withColumn("day", F.row_number().over(Window.orderBy("ts")) - 1).where(F.col("day") % rebalance == 0).drop("day")
     names = ["mom", "mom_long", "vol", "trend"]
     out = out.join(days, "ts").where(" and ".join(f"{x} is not null" for x in [*names, "forward"]))

@@ -41,8 +41,10 @@ def ridge_weights(samples: DataFrame, by: list[str], xs: list[str], y: str, alph
     return sums.mapInPandas(solve, f"{kinds}, n long, weights array<double>")
 
 
-def _signals(members: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
-    """Test rows of splits of at least 10 train rows, with n_train and the signal of the ridge fitted on those."""
+def _signals(members: DataFrame, x: str | list[str], y: str, alpha: float) -> DataFrame:
+    """Test rows of splits of at least max(10, factors + 2) train rows, with n_train and the signal of the ridge fitted on those."""
+    if not isinstance(x, str):
+        return _joint_signals(members, x, y, alpha)
     train = members.where("role = 'train'").groupBy("symbol", "split").agg(F.count(F.lit(1)).alias("n_train"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.covar_pop(x, y).alias("c"))
     s = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
     k = F.when(F.col("s") > 0, 1.0).otherwise(0.0)
@@ -51,8 +53,20 @@ def _signals(members: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
     return members.where("role = 'test'").join(train, ["symbol", "split"]).withColumn("signal", (F.col(x) - F.col("m")) / F.col("s") * F.col("w"))
 
 
-def factor_eval(members: DataFrame, x: str, y: str, alpha: float = 1.0) -> DataFrame:
-    """One factor's ridge signal per symbol and split: IC on test rows, share of right signs, mean of sign times y.
+def _joint_signals(members: DataFrame, xs: list[str], y: str, alpha: float) -> DataFrame:
+    """As _signals, for several factors: weights come from one aggregate per symbol and split, signals are an expression."""
+    keys = ["symbol", "split"]
+    train = members.where("role = 'train'")
+    weights = ridge_weights(train, keys, xs, y, alpha).where(F.col("n") >= max(10, len(xs) + 2)).withColumnRenamed("n", "n_train")
+    stats = train.groupBy(*keys).agg(*[F.avg(x).alias(f"_m{i}") for i, x in enumerate(xs)], *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(xs)])
+    terms = [(F.col(x) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0) * F.col("weights")[i] for i, x in enumerate(xs)]
+    fitted = weights.join(stats, keys)
+    out = members.where("role = 'test'").join(fitted, keys).withColumn("signal", sum(terms[1:], terms[0]))
+    return out.drop("weights", *[f"_{k}{i}" for k in "ms" for i in range(len(xs))])
+
+
+def factor_eval(members: DataFrame, x: str | list[str], y: str, alpha: float = 1.0) -> DataFrame:
+    """One or several factors' ridge signal per symbol and split: IC on test rows, share of right signs, mean of sign times y.
 
     Splits of under 10 train or 3 test rows are left out; without spread in the signal or y, IC and the rest are null.
     """
@@ -66,8 +80,8 @@ def factor_eval(members: DataFrame, x: str, y: str, alpha: float = 1.0) -> DataF
     return out.where("n_test >= 3").select("symbol", "split", "n_train", "n_test", *[F.when(good, F.col(c)).alias(name) for name, c in kept.items()])
 
 
-def factor_buckets(members: DataFrame, x: str, y: str, alpha: float = 1.0, buckets: int = 5, cost_bps: float = 10.0) -> DataFrame:
-    """Mean y by quantile of one factor's out-of-sample signal, a row per symbol; returns are shares, not percent.
+def factor_buckets(members: DataFrame, x: str | list[str], y: str, alpha: float = 1.0, buckets: int = 5, cost_bps: float = 10.0) -> DataFrame:
+    """Mean y by quantile of one or several factors' out-of-sample signal, a row per symbol; returns are shares, not percent.
 
     The test signals of factor_eval's splits are standardised within their split and pooled.  A row's bucket is the number
     of quantile edges that do not exceed its signal.  means: per bucket, null for an empty one; spread: top less bottom;

@@ -237,7 +237,7 @@ register("r09_accumulations", lambda s, d: rounded(regime.accumulations(daily(s,
 register("l01_forward_return", lambda s, d: rounded(labels.with_forward_return(daily(s, d)), "forward", places=9).select("symbol", "bar_no", "forward"), f"WITH {BARS} SELECT symbol, bar_no, round(lead(close, 20) OVER ({P}) / close - 1, 9) AS forward FROM bars")
 BARRIER = f"""{TR}, a AS (SELECT *, {enough('tr', f'avg(tr) {frame(14)}', 14, 7)} / close AS v FROM tr), d AS (SELECT symbol, bar_no AS entry, close AS price, CASE WHEN v > 0 THEN v ELSE 0.01 END AS v FROM a WHERE bar_no >= 119 AND (bar_no - 119) % 3 = 0 AND bar_no < (SELECT max(bar_no) FROM bars z WHERE z.symbol = a.symbol) + 1),
 f AS (SELECT *, price * (1 + 2.0 * v) AS up, price * (1 - 2.0 * v) AS down FROM d),
-m AS (SELECT f.symbol, entry, price, up, down, min(bar_no) FILTER (low <= down) AS lost, min(bar_no) FILTER (high >= up) AS won, max(bar_no) AS last, arg_max(close, bar_no) AS final FROM f JOIN bars b ON b.symbol = f.symbol AND bar_no BETWEEN entry + 1 AND entry + 20 GROUP BY ALL),
+m AS (SELECT f.symbol, entry, price, up, down, min(bar_no) FILTER (low <= down) AS lost, min(bar_no) FILTER (high >= up) AS won, coalesce(max(bar_no), entry) AS last, coalesce(arg_max(close, bar_no), price) AS final FROM f LEFT JOIN bars b ON b.symbol = f.symbol AND bar_no BETWEEN entry + 1 AND entry + 20 GROUP BY f.symbol, entry, price, up, down),
 o AS (SELECT *, CASE WHEN lost IS NOT NULL AND (won IS NULL OR lost <= won) THEN -1 WHEN won IS NOT NULL THEN 1 ELSE 0 END AS outcome FROM m),
 lab AS (SELECT *, CASE outcome WHEN -1 THEN down WHEN 1 THEN up ELSE final END / price - 1 AS ret, CASE outcome WHEN -1 THEN lost WHEN 1 THEN won ELSE last END AS out_at FROM o)"""
 register("l02_triple_barrier", lambda s, d: rounded(labels.triple_barrier(daily(s, d)), "ret"),
@@ -296,7 +296,7 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 
 
 PAPER = f"""{TR}, oa AS (SELECT *, {enough('tr', f'avg(tr) {frame(14)}', 14, 7)} AS atr FROM tr), od AS (SELECT symbol, bar_no AS decision, CASE WHEN close >= open THEN 1 ELSE -1 END AS side, close - CASE WHEN close >= open THEN 1 ELSE -1 END * 2 * atr AS stop, close + CASE WHEN close >= open THEN 1 ELSE -1 END * 3 * atr AS target FROM oa WHERE bar_no >= 119 AND bar_no % 25 = 0),
-pm AS (SELECT o.symbol, decision, side, stop, target, arg_min(open, bar_no) AS fill, min(bar_no) FILTER (CASE WHEN side > 0 THEN low <= stop ELSE high >= stop END) AS lost, min(bar_no) FILTER (CASE WHEN side > 0 THEN high >= target ELSE low <= target END) AS won, max(bar_no) AS last, arg_max(close, bar_no) AS final FROM od o JOIN bars b ON b.symbol = o.symbol AND bar_no BETWEEN decision + 1 AND decision + 20 GROUP BY ALL),
+pm AS (SELECT o.symbol, decision, side, stop, target, arg_min(open, bar_no) AS fill, min(bar_no) FILTER (CASE WHEN side > 0 THEN low <= stop ELSE high >= stop END) AS lost, min(bar_no) FILTER (CASE WHEN side > 0 THEN high >= target ELSE low <= target END) AS won, max(bar_no) AS last, arg_max(close, bar_no) AS final FROM od o LEFT JOIN bars b ON b.symbol = o.symbol AND bar_no BETWEEN decision + 1 AND decision + 20 GROUP BY ALL),
 ps AS (SELECT *, CASE WHEN lost IS NOT NULL AND (won IS NULL OR lost <= won) THEN 'loss' WHEN won IS NOT NULL THEN 'win' WHEN last = decision + 20 THEN 'timeout' ELSE 'open' END AS status FROM pm),
 pr AS (SELECT *, CASE status WHEN 'loss' THEN stop WHEN 'win' THEN target WHEN 'timeout' THEN final END AS px, CASE status WHEN 'loss' THEN lost WHEN 'win' THEN won WHEN 'timeout' THEN last END - decision AS held FROM ps),
 paper AS (SELECT *, side * (px - fill) / nullif(abs(fill - stop), 0) AS r FROM pr)"""

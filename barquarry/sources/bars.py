@@ -100,14 +100,17 @@ def parse_crypto(payload: DataFrame) -> DataFrame:
 
 #: The longest history, in days, of an intraday interval, and the days of a period.
 INTERVAL_DAYS = {"1m": 7, "2m": 60, "5m": 60, "15m": 60, "30m": 60, "60m": 730, "90m": 60, "1h": 730}
-PERIOD_DAYS = {"1d": 1, "5d": 5, "1mo": 30, "3mo": 90, "6mo": 182, "1y": 365, "2y": 730, "5y": 1825, "10y": 3650}
+PERIOD_DAYS = {"1d": 1, "5d": 5, "7d": 7, "1mo": 31, "3mo": 93, "6mo": 186, "1y": 366, "2y": 730, "5y": 1827, "10y": 3653, "ytd": 366, "max": 1_000_000}
 
 
 def clamp_periods(spark: SparkSession, wanted: DataFrame) -> DataFrame:
-    """(period, interval) with the largest standard period that the interval's source still serves."""
+    """(period, interval) with the largest standard period (not ytd or max) that the interval's source still serves.
+
+    Daily and longer intervals, and periods that are not known, pass unchanged.
+    """
     caps = spark.createDataFrame(list(INTERVAL_DAYS.items()), "interval string, cap int")
     days = spark.createDataFrame(list(PERIOD_DAYS.items()), "name string, days int")
-    own = wanted.join(F.broadcast(caps), "interval", "left").join(F.broadcast(days.toDF("period", "own")), "period", "left")
-    fit = caps.join(F.broadcast(days), F.col("days") <= F.col("cap")).groupBy("interval").agg(F.max_by("name", "days").alias("largest"))
-    over = F.col("cap").isNotNull() & (F.coalesce("own", F.lit(1 << 30)) > F.col("cap"))
-    return own.join(F.broadcast(fit), "interval", "left").select("period", "interval", F.when(over, F.col("largest")).otherwise(F.col("period")).alias("clamped"))
+    own = wanted.withColumn("name", F.lower("period")).join(F.broadcast(caps), "interval", "left").join(F.broadcast(days.withColumnRenamed("days", "own")), "name", "left")
+    fit = caps.join(F.broadcast(days), (F.col("days") <= F.col("cap")) & ~F.col("name").isin("ytd", "max")).groupBy("interval").agg(F.max_by("name", "days").alias("largest"))
+    over = F.coalesce(F.col("own") > F.col("cap"), F.lit(False))
+    return own.join(F.broadcast(fit), "interval", "left").select("period", "interval", F.when(over, F.coalesce("largest", F.lit("1d"))).otherwise(F.col("period")).alias("clamped"))

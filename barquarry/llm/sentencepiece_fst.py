@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-*Compile* (once, on the driver).  The normaliser (dummy prefix, white space escaped, extra
-white space dropped if the model says so), the pieces and the byte fallback become one
+*Compile* (once, on the driver).  The normaliser (the model's table of replaced strings, the
+longest match first; dummy prefix; white space escaped, extra white space dropped if the
+model says so), the pieces and the byte fallback become one
 transducer: an arc for each piece, and for each character without a piece an arc that
 writes its bytes' pieces.
 
@@ -15,16 +16,21 @@ its pieces' merges, latest first.
 *Compose and search.*  Each distinct chunk (blanks and what follows them) of the input is
 composed with the transducer and the shortest path in the tropical semiring is taken, for
 all chunks of a length at once, position by position.  No piece reaches over a chunk's
-end.  Results are remembered by chunk in a bounded table of the Python worker.
+end, nor over two neighbouring characters that no piece holds: there, longer chunks are cut
+as well.  What is longer still is searched arc by arc, with its arcs and the neighbours
+they meet found for all positions at once.  Results are remembered by chunk in a bounded
+table of the Python worker, and compared with the chunk's text.
 
 Decoding concatenates the pieces' bytes, turns the escape into a blank and drops the dummy
-prefix.  decode(encode(text)) is the text, unless it holds the escape character U+2581.
+prefix.  decode(encode(text)) is the normalised text; a literal U+2581 comes back as a blank.
 
 Defined results: null or empty text has no ids; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +49,7 @@ _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 NONE, START = -2, -1
+SHORT = 48  # characters of a chunk that is searched together with others of its length
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -71,6 +78,33 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         i += n
 
 
+def _rules(blob: bytes) -> dict[str, str]:
+    """The normaliser's replaced strings: all paths of the double-array trie in a model's table, with what they end in."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, values = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    out: dict[str, str] = {}
+    every = np.arange(1, 256)
+
+    def base(unit: int) -> int:
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    stack = [(base(int(units[0])), b"")]
+    while stack:
+        at, key = stack.pop()
+        place = at ^ every
+        place = np.where(place < len(units), place, 0)
+        for c in every[(units[place] & ((1 << 31) | 255)) == every].tolist():
+            unit = int(units[at ^ c])
+            below = (at ^ c) ^ base(unit)
+            if unit >> 8 & 1:
+                begin = int(units[below]) & ((1 << 31) - 1)
+                out[(key + bytes([c])).decode()] = values[begin : values.index(b"\0", begin)].decode()
+            stack.append((below, key + bytes([c])))
+    return out
+
+
 def _hash(text: str) -> int:
     h = 0
     for c in text:
@@ -99,21 +133,26 @@ class Transducer:
                 self.kind = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
                 normal = dict(_fields(value))
-        if normal.get(2):
-            raise ValueError("only models with the identity normaliser can be compiled")
+        self.rules = _rules(normal.get(2) or b"")
+        self.rule_starts = "".join(sorted({k[0] for k in self.rules}))
+        self.rule_longest = max(map(len, self.rules), default=0)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models can be compiled")
         self.prefix, self.squeeze = bool(normal.get(3, 1)), bool(normal.get(4, 1))
         self.scores = np.array(scores)
+        self.worst = min((s for s, k in zip(scores, kinds) if k == NORMAL), default=0.0) - 10  # of a character without a piece
         self.size = len(kinds)
         self.byte = np.full(256, kinds.index(UNKNOWN))
         for i, k in enumerate(kinds):
             if k == BYTE:
                 self.byte[int(self.texts[i][1:-1], 16)] = i
+        if BYTE not in kinds:
+            raise ValueError("only models with byte fallback can be compiled")
         usable = {t: i for i, t in enumerate(self.texts) if kinds[i] in (NORMAL, USER)}
         if self.kind == BPE:
             usable = self._undone(usable)
         self.longest = max(map(len, usable), default=1)
+        self.inner = np.array(sorted({(ord(a) << 32) | ord(b) for t in usable for a, b in itertools.pairwise(t)}), np.int64)  # neighbours that a piece holds
         keys = np.array([_hash(t) for t in usable], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(list(usable.values()), np.int64)[order]
@@ -189,12 +228,12 @@ class Transducer:
         for i in range(length):
             h[i + 1] = h[i] * _B + (codes[:, i].astype(np.uint64) + np.uint64(1))
         last, step = np.full((length + 1, n), NONE), np.zeros((length + 1, n), np.int64)
-        cost = np.full((length + 1, n), np.inf)
+        cost = np.full((length + 1, n), np.inf, np.float32)  # as the library adds up
         last[0], cost[0] = START, 0
         reached = [np.arange(n)]  # chunks with a path to each position
-        worst = self.scores.min() - 10
+        worst, scores = np.float32(self.worst), self.scores.astype(np.float32)
         for i in range(1, length + 1):
-            for size in range(1, min(i, self.longest) + 1):
+            for size in range(min(i, self.longest), 0, -1):  # of equal paths the one with the longer last piece
                 j = i - size
                 rows = reached[j]
                 piece = self.find(h[i][rows] - h[j][rows] * self.powers[size])
@@ -208,15 +247,113 @@ class Transducer:
                     rows, piece = rows[good], piece[good]
                     last[i, rows], step[i, rows] = piece, size
                 else:
-                    weight = cost[j, rows] - np.where(piece < self.size, self.scores[np.minimum(piece, self.size - 1)], worst)
+                    weight = cost[j, rows] - np.where(piece < self.size, scores[np.minimum(piece, self.size - 1)], worst)
                     better = weight < cost[i, rows]
                     rows, piece = rows[better], piece[better]
                     cost[i, rows], last[i, rows], step[i, rows] = weight[better], piece, size
             reached.append(np.flatnonzero(last[i] != NONE))
         return last.T, step.T
 
+    def normalise(self, text: str) -> str:
+        """The text with the model's replaced strings, longest match first, and without extra blanks if it drops them."""
+        if self.rules:
+            out, at = [], 0
+            for m in re.finditer(f"[{re.escape(self.rule_starts)}]", text):
+                if (i := m.start()) < at:
+                    continue
+                for n in range(self.rule_longest, 0, -1):
+                    new = self.rules.get(text[i : i + n])
+                    if new is not None:
+                        out += [text[at:i], new]
+                        at = i + min(n, len(text) - i)
+                        break
+            text = "".join([*out, text[at:]])
+        return " ".join(p for p in text.split(" ") if p).rstrip(" " + ESCAPE) if self.squeeze else text
+
+    def path_long(self, codes: np.ndarray) -> list[int]:
+        """The ids of one long chunk (code points): arcs and neighbours by array, the search arc by arc."""
+        length = len(codes)
+        values = codes.astype(np.uint64) + np.uint64(1)
+        h, begins, pieces_, sizes = values, [], [], []
+        for size in range(1, min(length, self.longest) + 1):
+            if size > 1:
+                h = h[:-1] * _B + values[size - 1 :]
+            found = self.find(h)
+            at = np.arange(length) if size == 1 else np.flatnonzero(found >= 0)
+            begins.append(at)
+            pieces_.append(np.where(found[at] == NONE, self.size, found[at]))
+            sizes.append(np.full(len(at), size))
+        begin, piece, size = (np.concatenate(x) for x in (begins, pieces_, sizes))
+        end = begin + size
+        order = np.lexsort((begin, end))
+        begin, piece, end = begin[order], piece[order], end[order]
+        first = np.searchsorted(end, np.arange(length + 2)).tolist()
+        barred: set[tuple[int, int]] = set()
+        if self.kind == BPE:
+            # every two arcs that meet, told apart once
+            left = np.argsort(begin, kind="stable")
+            low, high = np.searchsorted(begin[left], end, "left"), np.searchsorted(begin[left], end, "right")
+            step = max(1, 1 << 20)
+            for a in range(0, len(end), step):
+                n = high[a : a + step] - low[a : a + step]
+                second = piece[left[np.repeat(low[a : a + step] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]]
+                pairs = np.unique(np.repeat(piece[a : a + step], n) * (self.size + 1) + second)
+                x, y = pairs // (self.size + 1), pairs % (self.size + 1)
+                known = (x < self.size) & (y < self.size)
+                x, y = x[known], y[known]
+                bad = ~self.apart_pair(x, y)
+                barred.update(zip(x[bad].tolist(), y[bad].tolist()))
+        last, back = [NONE] * (length + 1), [0] * (length + 1)
+        cost = [np.float32("inf")] * (length + 1)
+        last[0], cost[0] = START, np.float32(0)
+        begins_, pieces_ = begin.tolist(), piece.tolist()
+        scores, worst = list(self.scores.astype(np.float32)), np.float32(self.worst)
+        for i in range(1, length + 1):
+            for e in range(first[i], first[i + 1]):
+                j, p = begins_[e], pieces_[e]
+                if last[j] == NONE or (last[j], p) in barred:
+                    continue
+                weight = cost[j] - (scores[p] if p < self.size else worst) if self.kind == UNIGRAM else 0.0
+                if weight < cost[i] or self.kind == BPE:
+                    last[i], back[i], cost[i] = p, j, weight
+        out, i = [], length
+        while i:
+            if last[i] == self.size:
+                out += [int(self.byte[x]) for x in reversed(chr(int(codes[i - 1])).encode("utf-8", "replace"))]
+            else:
+                out.append(last[i])
+            i = back[i]
+        return out[::-1]
+
+    def _cut(self, chunk: str) -> list[str]:
+        """A chunk cut between neighbours that no piece holds."""
+        codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        both = (codes[:-1] << 32) | codes[1:]
+        at = np.minimum(np.searchsorted(self.inner, both), len(self.inner) - 1)
+        cuts = (np.flatnonzero(self.inner[at] != both) + 1).tolist() if len(self.inner) else list(range(1, len(chunk)))
+        return [chunk[a:b] for a, b in itertools.pairwise([0, *cuts, len(chunk)])]
+
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each chunk); chunks are normalised."""
+        if not any(len(c) > SHORT for c in chunks):
+            return self._encode_short(chunks)
+        parts = [self._cut(c) if len(c) > SHORT else [c] for c in chunks]
+        numbers: dict[str, int] = {}
+        flat = np.array([numbers.setdefault(p, len(numbers)) for own in parts for p in own], np.int64)
+        short = [p for p in numbers if len(p) <= SHORT]
+        ids, counts = self._encode_short(short)
+        found = dict(zip(short, np.split(ids, np.cumsum(counts)[:-1]))) if short else {}
+        for p in numbers:
+            if len(p) > SHORT:
+                found[p] = np.array(self.path_long(np.frombuffer(p.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)), np.int32)
+        by = [found[p] for p in numbers]
+        sizes = np.array([len(x) for x in by], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[flat])])
+        cuts = np.concatenate([[0], np.cumsum([len(own) for own in parts])])
+        return np.concatenate([by[i] for i in flat.tolist()] or [np.zeros(0, np.int32)]).astype(np.int32), np.diff(ends[cuts])
+
+    def _encode_short(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_chunks, for chunks of at most SHORT characters."""
         sizes = np.array([len(c) for c in chunks], np.int64)
         flat = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         begin = np.cumsum(sizes) - sizes
@@ -256,10 +393,16 @@ _KNOWN: dict[int, ChunkIds] = {}
 
 def encode(column: pa.Array, fst: Transducer, known: ChunkIds) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows, where each row's begin, one more at the end)."""
-    if fst.squeeze:
-        column = pa.array([None if x is None else " ".join(p for p in x.split(" ") if p) for x in column.to_pylist()], pa.string())
+    if fst.squeeze or fst.rules:
+        column = pa.array([None if x is None else fst.normalise(x) for x in column.to_pylist()], pa.string())
     data, offsets = buffers(column)
     blank = data == 32
+    opens_blank = blank.copy()
+    if (mark := np.flatnonzero(data == 0xE2)).size:  # a literal escape character counts as a blank
+        padded = np.append(data, [0, 0])
+        mark = mark[(padded[mark + 1] == 0x96) & (padded[mark + 2] == 0x81)]
+        opens_blank[mark] = True
+        blank[np.concatenate([mark, mark + 1, mark + 2])] = True
     alone = np.isin(data, fst.apart)
     head = np.zeros(len(data) + 1, bool)
     head[offsets] = True
@@ -267,7 +410,7 @@ def encode(column: pa.Array, fst: Transducer, known: ChunkIds) -> tuple[np.ndarr
     head = head[:-1]
     head |= alone
     if len(data):
-        head[1:] |= alone[:-1] | (blank[1:] & ~blank[:-1])
+        head[1:] |= alone[:-1] | (opens_blank[1:] & ~blank[:-1])
     start = np.flatnonzero(head)
     end = np.append(start[1:], len(data))
     first_of_row = opens[start] & fst.prefix
@@ -292,7 +435,7 @@ def _round_trip(fst: Transducer, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _KNOWN.setdefault(zlib.crc32(fst.keys), None) or ChunkIds(fst)
         _KNOWN[zlib.crc32(fst.keys)] = known
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 1 << 22):
             flat, begin = encode(piece.column("text"), fst, known)
             data, offsets = buffers(piece.column("text"))
             back, whole, cut = decode(flat, begin, fst), data.tobytes(), offsets.tolist()

@@ -353,28 +353,36 @@ class Transducer:
         return np.concatenate([by[i] for i in flat.tolist()] or [np.zeros(0, np.int32)]).astype(np.int32), np.diff(ends[cuts])
 
     def _encode_short(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As encode_chunks, for chunks of at most SHORT characters."""
+        """As encode_chunks, for chunks of at most SHORT characters. The paths are followed back for all chunks of a length at once."""
         sizes = np.array([len(c) for c in chunks], np.int64)
         flat = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         begin = np.cumsum(sizes) - sizes
-        found: list[list[int]] = [[]] * len(chunks)
-        for length in np.unique(sizes):
-            for at in range(0, int((sizes == length).sum()), 50_000):
-                rows = np.flatnonzero(sizes == length)[at : at + 50_000]
+        by_size = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[by_size], prepend=-1)).tolist() + [len(chunks)]
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]  # chunk, steps from its end, piece, character
+        for low, high in itertools.pairwise(cuts):
+            length = int(sizes[by_size[low]])
+            for at in range(low, high if length else low, 50_000):
+                rows = by_size[at : min(at + 50_000, high)]
                 codes = flat[begin[rows][:, None] + np.arange(length)]
                 last, step = self.paths(codes)
-                for r, path, steps, own in zip(rows.tolist(), last.tolist(), step.tolist(), codes.tolist()):
-                    out, i = [], int(length)
-                    while i:
-                        piece = path[i]
-                        if piece == self.size:
-                            out += [int(self.byte[x]) for x in reversed(chr(own[i - 1]).encode("utf-8", "replace"))]
-                        else:
-                            out.append(piece)
-                        i -= steps[i]
-                    found[r] = out[::-1]
-        counts = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((x for f in found for x in f), np.int32, int(counts.sum())), counts
+                live, place, k = np.arange(len(rows)), np.full(len(rows), length), 0
+                while len(live):
+                    found.append((rows[live], np.full(len(live), k), last[live, place], codes[live, place - 1]))
+                    place = place - step[live, place]
+                    live, place, k = live[place > 0], place[place > 0], k + 1
+        row, k, piece, code = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-k, row))
+        row, piece, code = row[order], piece[order], code[order]
+        n = np.ones(len(row), np.int64)
+        bare = np.flatnonzero(piece == self.size)  # characters without a piece: their bytes'
+        written = [[int(self.byte[x]) for x in chr(c).encode("utf-8", "replace")] for c in code[bare].tolist()]
+        n[bare] = [len(x) for x in written]
+        ids = np.repeat(piece, n).astype(np.int32)
+        if written:
+            first = (np.cumsum(n) - n)[bare]
+            ids[np.repeat(first, n[bare]) + np.arange(int(n[bare].sum())) - np.repeat(np.cumsum(n[bare]) - n[bare], n[bare])] = [x for w in written for x in w]
+        return ids, np.bincount(row, n, len(chunks)).astype(np.int64)
 
 
 class ChunkIds(Known):

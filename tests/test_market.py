@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,10 +64,17 @@ def test_normalize_keeps_last_and_drops_nulls(spark):
     assert [(r["close"], r["volume"]) for r in out] == [(1.5, 0.0)]
 
 
-def test_clamp_periods(spark):
-    want = {("1y", "1m"): "5d", ("6mo", "5m"): "1mo", ("5d", "1m"): "5d", ("1y", "1d"): "1y", ("2y", "1h"): "2y"}
-    got = src.clamp_periods(spark, spark.createDataFrame(list(want), "period string, interval string"))
-    assert {(r["period"], r["interval"]): r["clamped"] for r in got.collect()} == want
+def test_clamped_period_is_the_longest_that_fits(spark):
+    days, caps = src.PERIOD_DAYS, src.INTERVAL_DAYS
+    asked = [(p, i) for p in [*days, "a year"] for i in [*caps, "1d", "3mo"]]
+    got = {(r["period"], r["interval"]): r["clamped"] for r in src.clamp_periods(spark, spark.createDataFrame(asked, "period string, interval string")).collect()}
+    for p, i in asked:
+        if i not in caps or p not in days or days[p] <= caps[i]:
+            assert got[p, i] == p
+        else:
+            fits = {q: n for q, n in days.items() if n <= caps[i] and q not in ("ytd", "max")}
+            assert fits[got[p, i]] == max(fits.values())
+    assert got["1y", "1m"] == "7d" and got["max", "1h"] == "2y"
 
 
 def test_parse_crypto_keeps_last(spark):
@@ -76,20 +84,54 @@ def test_parse_crypto_keeps_last(spark):
     assert [r["close"] for r in out] == [1.5, 1.7] and out[0]["ts"] == dt.datetime(1970, 1, 1, 0, 3, 20)
 
 
-def barrier(spark, closes, highs, lows, side=1):
-    b = frame(spark, [(c, h, lo, c, 1) for c, h, lo in zip(closes, highs, lows)])
-    b = b.withColumn("tr", F.lit(1.0))
-    out = labels.triple_barrier(b, horizon=2, stride=1, lookback=1, side=side).where("entry = 0").first()
-    return out["outcome"], round(out["ret"], 4), out["exit"]
-
-
-def test_triple_barrier(spark):
-    # one bar only: no ATR, so that the share is 1 % and barriers lie 2 % away
-    assert barrier(spark, [100, 101.5], [100.5, 103], [99.5, 101]) == (1, 0.02, 1)
-    assert barrier(spark, [100, 100], [100.5, 100.5], [99.5, 97]) == (-1, -0.02, 1)
-    assert barrier(spark, [100, 100.5, 101], [100.5, 100.7, 101.2], [99.5, 99.9, 100.5]) == (0, 0.01, 2)
-    assert barrier(spark, [100, 100], [100, 103], [100, 97]) == (-1, -0.02, 1)
-    assert barrier(spark, [100, 99], [100, 100], [99.5, 97], side=-1) == (1, 0.02, 1)
+def first_touch(bars, entry, v, horizon, profit, stop, side):
+    """(outcome, return, exit bar) by walking the bars one by one."""
+    price = bars[entry][3]
+    goal, floor = price * (1 + side * profit * v), price * (1 - side * stop * v)
+    last = min(entry + horizon, len(bars) - 1)
+    for j in range(entry + 1, last + 1):
+        _, h, lo, _, _ = bars[j]
+        if (lo <= floor) if side > 0 else (h >= floor):
+            return -1, side * (floor / price - 1), j
+        if (h >= goal) if side > 0 else (lo <= goal):
+            return 1, side * (goal / price - 1), j
+    return 0, side * (bars[last][3] / price - 1), last
+
+
+def test_triple_barrier_against_a_walk(spark):
+    rng = random.Random(11)
+    bars, c = [], 80.0
+    for _ in range(140):
+        o, c = c, c * (1 + rng.gauss(0, 0.02))
+        bars.append((o, max(o, c) * (1 + rng.random() * 0.02), min(o, c) * (1 - rng.random() * 0.02), c, 10))
+    bets = [(i, 0.005 * (1 + i % 5), 1 if i % 2 else -1) for i in range(0, 140, 3)] + [(139, 0.01, 1)]
+    asked = spark.createDataFrame([("a", i, bars[i][3], v, s) for i, v, s in bets], "symbol string, bar_no long, price double, v double, side int")
+    got = {(r["bar_no"], r["side"]): r for r in labels.triple_barrier_at(frame(spark, bars), asked, 9, 1.5, 1.0).collect()}
+    assert len(got) == len(set((i, s) for i, _, s in bets))
+    for i, v, s in bets:
+        outcome, ret, at = first_touch(bars, i, v, 9, 1.5, 1.0, s)
+        r = got[i, s]
+        assert (r["outcome"], r["exit"], r["holding"], r["win"]) == (outcome, at, at - i, int(ret > 0)) and r["ret"] == pytest.approx(ret, abs=1e-12)
+
+
+def test_wilder_keeps_a_spike_however_long_its_memory(spark):
+    bars = [(10, 11, 9, 10, 1)] * 3 + [(10, 5000, 9, 10, 1)] + [(10, 11 + i % 3, 9, 10, 1) for i in range(900)]
+    for n in (1, 2, 14, 200):
+        want, a = [], None
+        for i, (_, h, lo, _, _) in enumerate(bars):
+            tr = h - lo if not i else max(h - lo, abs(h - bars[i - 1][3]), abs(lo - bars[i - 1][3]))
+            a = tr if a is None else a + (tr - a) / n
+            want.append(a if i >= n - 1 else None)
+        got = values(indicators.with_atr_wilder(frame(spark, bars), n), "atr")
+        assert [x is None for x in got] == [x is None for x in want]
+        assert max(abs(x - y) / y for x, y in zip(got, want) if y is not None) < 1e-11
+
+
+def test_an_order_without_a_later_bar_stays_open(spark):
+    b = frame(spark, [(100, 101, 99, 100, 1)] * 3)
+    orders = spark.createDataFrame([("a", 2, 1, 90.0, 110.0), ("a", 1, -1, 110.0, 90.0)], "symbol string, decision long, side int, stop double, target double")
+    got = {r["decision"]: r for r in backtest.resolve_orders(orders, b, 5).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {1: "open", 2: "open"} and got[2]["fill"] is None and got[1]["fill"] == 100
 
 
 def test_runs(spark):

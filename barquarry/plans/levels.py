@@ -81,7 +81,7 @@ def _events(b: DataFrame) -> DataFrame:
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    b = q.daily(s, d, UNIVERSE)
+    b = q.daily(s, d, UNIVERSE).persist()  # profile, gauges and events all read it: one scan and one shuffle instead of one for each
     return scoring.confluence(b, _events(b))
 
 

@@ -242,12 +242,15 @@ def _near_dedup(rows: DataFrame, docs: DataFrame, scratch: Scratch, stars: int,
         alone = _screened(todo.where("n = 2").select("a", "b"), reps, scratch)
         new = _compared(todo.where("n > 2").unionByName(alone.withColumn("n", F.lit(2).cast("long"))), docs, scratch, True)
         checked = new if checked is None else checked.unionByName(new)
+        scratch.remove(todo, alone, *([] if labels is None else [labels]))
         labels = components(_links(checked), scratch)
         storage.release(spark)
         family = scratch.write(_families(pairs, checked, labels))
-        bare = _left_out(stars_rows, family)
+        bare = scratch.write(_left_out(stars_rows, family))
         rest = bare if rest is None else rest.unionByName(bare)
-        buckets = scratch.write(_sharing(family))
+        sharing = scratch.write(_sharing(family))
+        scratch.remove(stars_rows, family, buckets)  # what is small is on disk; nothing reads these again
+        buckets = sharing
         storage.release(spark)
         members, across = _sizes(buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("label")))
         if star == stars or across <= 8 * members:

@@ -159,8 +159,14 @@ st(symbol, i, cash, ps, pe, pn, pst, ptg, pb, qs, qst, qtg, equity, xp, xr, xs,
 le AS (SELECT symbol, max(i) AS z FROM st GROUP BY symbol),
 tr2 AS (SELECT symbol, xs AS side, pb AS entry_bar, i AS exit_bar, pe, xp, pn, xr FROM st WHERE xp IS NOT NULL
   UNION ALL SELECT s.symbol, ps, pb, i, pe, c, pn, 'end' FROM st s JOIN le ON le.symbol = s.symbol AND z = i WHERE ps <> 0)"""
-register("b01_fold_trades", lambda s, d: rounded(folds.trades(_given_fold(s, d)).select("symbol", "side", "entry_bar", "exit_bar", "entry_price", "exit_price", "size", "exit_reason", "bars_held"), "entry_price", "exit_price"),
-         f"WITH RECURSIVE {FOLD} SELECT symbol, side, entry_bar, exit_bar, round(pe, 6) AS entry_price, round(xp, 6) AS exit_price, pn AS size, xr AS exit_reason, exit_bar - entry_bar AS bars_held FROM tr2")
+def _given_trades(s: SparkSession, d: str) -> DataFrame:
+    """Prices to 4 places; the small addend keeps the sixth decimals that costs make away from ties."""
+    out = folds.trades(_given_fold(s, d)).select("symbol", "side", "entry_bar", "exit_bar", "entry_price", "exit_price", "size", "exit_reason", "bars_held")
+    return out.withColumns({x: F.round(c(x) + F.lit(3e-6), 4) for x in ("entry_price", "exit_price")})
+
+
+register("b01_fold_trades", _given_trades,
+         f"WITH RECURSIVE {FOLD} SELECT symbol, side, entry_bar, exit_bar, round(pe + 3e-6::DOUBLE, 4) AS entry_price, round(xp + 3e-6::DOUBLE, 4) AS exit_price, pn AS size, xr AS exit_reason, exit_bar - entry_bar AS bars_held FROM tr2")
 register("b01_fold_equity", lambda s, d: rounded(folds.curves(_given_fold(s, d)), "equity", places=2), f"WITH RECURSIVE {FOLD} SELECT symbol, i AS bar_no, round(equity, 2) AS equity FROM st WHERE i >= 119")
 
 

@@ -17,7 +17,7 @@ def quiet_frame(bars: DataFrame, window: int = 20, baseline: int = 100, threshol
         out = out.withColumn(name, ind.percentile_rank(F.col(c), baseline, baseline // 4))
     score = 100 * ((1 - F.col("atr_rank")) + (1 - F.col("volume_rank")) + (1 - F.col("range_rank"))) / 3
     out = out.withColumn("quiet_score", score).withColumn("is_quiet", F.coalesce(score >= threshold, F.lit(False)))
-    return out.withColumn("volume_falling", F.coalesce(ind.slope(F.col("volume_ma"), window) < 0, F.lit(False)))
+    return out.withColumn("volume_falling", F.coalesce(ind.falling(F.col("volume_ma"), window), F.lit(False)))
 
 
 def latest(frame: DataFrame) -> DataFrame:

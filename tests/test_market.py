@@ -192,3 +192,28 @@ def test_stream_equals_batch_on_closed_bars(spark, tmp_path):
     stream = spark.read.parquet(str(tmp_path / "out"))
     batch = src.event_bars(spark.read.parquet(f"{root}/events.parquet"))
     assert stream.count() > 0.9 * batch.count() and stream.exceptAll(batch.select(stream.columns)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_quiet_frame_ranks_ties_as_its_sql_does(spark, tmp_path, seed):
+    duckdb = pytest.importorskip("duckdb")
+    from barquarry.plans import queries
+
+    rng = random.Random(seed)  # steps of a few cents: a close often equals the one 20 bars before, so that frames tie
+    rows = [(k, dt.datetime(1992, 1, 1) + dt.timedelta(days=i), float(rng.randint(1, 4)), float(52950 + rng.randint(-6, 6)), "A") for k in (1, 2) for i in range(400)]
+    spark.createDataFrame(rows, "l_linenumber int, l_shipdate timestamp_ntz, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = queries.QUERIES["r01_quiet_frame"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(queries.ORACLES["r01_quiet_frame"]).fetchall()))
+
+
+def test_folds_in_blocks_miss_no_row(spark):
+    rng = random.Random(2)
+    closes = [100 + rng.random() for _ in range(90)]
+    b = frame(spark, [(0, 1, 0, c, 1) for c in closes]).where("bar_no >= 7 and bar_no % 11 <> 3").withColumn("close", F.expr("if(bar_no = 40, null, close)"))
+    for n in (3, 20, 50):
+        plain = 4 * F.stddev_pop("close").over(indicators.last(n)) / F.avg("close").over(indicators.last(n))
+        out = b.withColumns({"w": indicators.bandwidth(F.col("close"), n, least=2), "plain": indicators.enough(F.col("close"), plain, n, 2)})
+        out = out.withColumns({"f": indicators.falling(F.col("close"), n), "s": indicators.slope(F.col("close"), n) < 0})
+        assert values(out, "w") == pytest.approx(values(out, "plain")) and values(out, "f") == values(out, "s")

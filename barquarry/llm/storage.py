@@ -129,6 +129,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, as texts can be long."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 1 << 22) -> None:
+    """Bound the rows and bytes of an Arrow batch, as texts and runs can be long: it exists in the executor, outside the heap, and in Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -21,7 +21,8 @@ hold arrives once per piece, and shards stay even.
 
 *Merge.*  Per shard, new runs are joined with the historical ones by one ordered pass over
 (anchor, window hash, document, start); the earliest owner of each fingerprint stands, all
-others are repeats.  A shard is worked on in one worker; there are as many as shuffle
+others are repeats.  A shard is worked on in one worker, a range of its anchors at a time, so
+that only one range is spread out in memory; there are as many shards as shuffle
 partitions, or as many as hold about 64 MB of runs each if that is more.
 
 *Index.*  `FingerprintIndex.ingest` writes the new runs beside the old; after `fanout`
@@ -108,49 +109,63 @@ def cut_runs(shards: int, window: int = WINDOW, size: int = 1 << 22):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", size, 65_535):
-            out: list[tuple] = []
-            ids = piece.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            piece = piece.take(pa.array(order))
-            doc = np.empty(len(ids), _DOC)
-            doc["id"], doc["key"] = ids[order], piece.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            w = words(piece.column("text"))
-            k = min(ANCHOR, window)
-            at = np.flatnonzero(np.arange(len(w.hash)) + window <= w.first[w.row + 1]) if len(w.hash) else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            gram, _ = w.grams(k)
-            anchor = _least(gram[: len(gram) - k + 1], window - k + 1)[at]
-            own = w.grams(window, w.second())[0][at]
-            row, start = w.row[at], at - w.first[w.row[at]]
-            # only the first copy here goes on; rows that repeat an id are each other's equals
-            both = mix(anchor + own)
-            by = np.argsort(both, kind="stable")
-            same = np.zeros(len(by), bool)
-            a, b = by[1:], by[:-1]
-            same[1:] = (both[a] == both[b]) & (anchor[a] == anchor[b]) & (own[a] == own[b])
-            lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-            later = same & ((doc["id"][row[by]] > doc["id"][row[lead]]) | (start[by] > start[lead]))
-            gone = np.sort(by[later])
-            if len(gone):
-                r, s, n = _ranges(row[gone], start[gone])
-                out += _answers(_hits(doc["key"][r], s, n), shards)
-            left = np.ones(len(at), bool)
-            left[gone] = False
-            anchor, row, start, win = anchor[left], row[left], start[left], own[left]
-            new = np.ones(len(row), bool)  # a segment: unbroken windows of one row under one anchor
-            new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
-            group = np.cumsum(new) - 1
-            new |= (np.arange(len(row)) - np.flatnonzero(new)[group]) % 255 == 0
-            cut = np.flatnonzero(new)
-            seg = np.empty(len(cut), _SEG)
-            seg["anchor"], seg["start"], seg["row"], seg["n"] = anchor[cut], start[cut], row[cut], np.diff(np.append(cut, len(row)))
-            out += _by_shard(doc, seg, win, shards, 0)
-            yield _table(out)
+            if out := _cut(piece, shards, window):
+                yield _table(out)
 
     return run
 
 
+def _cut(piece: pa.RecordBatch, shards: int, window: int) -> list[tuple]:
+    """One piece's runs and answers. Arrays go as soon as they are read: they hold 8 bytes a word each, about as much as the text."""
+    ids = piece.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+    order = np.argsort(ids, kind="stable")
+    doc = np.empty(len(ids), _DOC)
+    doc["id"], doc["key"] = ids[order], piece.column("key").to_numpy(zero_copy_only=False).view(np.uint64)[order]
+    w = words(piece.column("text").take(pa.array(order)))
+    k = min(ANCHOR, window)
+    at = np.flatnonzero(np.arange(len(w.hash)) + window <= w.first[w.row + 1]) if len(w.hash) else np.zeros(0, np.int64)
+    if not len(at):
+        return []
+    gram = w.grams(k)[0]
+    anchor = _least(gram[: len(gram) - k + 1], window - k + 1)[at]
+    del gram
+    own = w.grams(window, w.second())[0][at]
+    row = w.row[at]
+    start = at - w.first[row]
+    del w, at
+    # only the first copy here goes on; rows that repeat an id are each other's equals
+    both = mix(anchor + own)
+    by = np.argsort(both, kind="stable")
+    both = both[by]
+    same = np.zeros(len(by), bool)
+    same[1:] = both[1:] == both[:-1]
+    del both
+    at = np.flatnonzero(same)
+    same[at] = (anchor[by[at]] == anchor[by[at - 1]]) & (own[by[at]] == own[by[at - 1]])
+    lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
+    later = same & ((doc["id"][row[by]] > doc["id"][row[lead]]) | (start[by] > start[lead]))
+    gone = np.sort(by[later])
+    del by, same, lead, later, at
+    out: list[tuple] = []
+    if len(gone):
+        r, s, n = _ranges(row[gone], start[gone])
+        out += _answers(_hits(doc["key"][r], s, n), shards)
+        left = np.ones(len(row), bool)
+        left[gone] = False
+        anchor, row, start, own = anchor[left], row[left], start[left], own[left]
+        del left
+    del gone
+    new = np.ones(len(row), bool)  # a segment: unbroken windows of one row under one anchor
+    new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
+    cut = np.flatnonzero(new)
+    new |= (np.arange(len(row)) - np.repeat(cut, np.diff(np.append(cut, len(row))))) % 255 == 0
+    cut = np.flatnonzero(new)
+    seg = np.empty(len(cut), _SEG)
+    seg["anchor"], seg["start"], seg["row"], seg["n"] = anchor[cut], start[cut], row[cut], np.diff(np.append(cut, len(row)))
+    del anchor, row, start, new, cut
+    return out + _by_shard(doc, seg, own, shards, 0)
+
+
 def _flat(seg: np.ndarray) -> np.ndarray:
     """Place of each window in its segment, for windows stored segment by segment."""
     n = seg["n"].astype(np.int64)
@@ -176,44 +191,83 @@ def _by_shard(doc: np.ndarray, seg: np.ndarray, win: np.ndarray, shards: int, le
     return out
 
 
-def merge_shard(shards: int, compact: bool):
+def _column(table: pa.Table, name: str, runs: np.ndarray, kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """(records of all runs one after the other, how many each run has)."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x, own in zip(table.column(name), runs.tolist()) if own]
+    sizes = np.array([len(x) for x in parts], np.int64) // np.dtype(kind).itemsize
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).view(kind), sizes
+
+
+def _joined(hits: np.ndarray) -> np.ndarray:
+    """Hits that go on where another one ends as one."""
+    hits = hits[np.lexsort((hits["start"], hits["key"]))]
+    new = np.ones(len(hits), bool)
+    new[1:] = (hits["key"][1:] != hits["key"][:-1]) | (hits["start"][1:] != hits["start"][:-1] + hits["n"][:-1])
+    at = np.flatnonzero(new)
+    return _hits(hits["key"][at], hits["start"][at], np.add.reduceat(hits["n"], at)) if len(at) else hits
+
+
+def merge_shard(shards: int, compact: bool, size: int = 1 << 18):
     """applyInArrow function over one shard: merge-join new runs (level 0) with each other and with the
-    historical ones, and answer for the new. compact: also the run of earliest owners that replaces them all."""
+    historical ones, and answer for the new. compact: also the runs of earliest owners that replace them all.
+
+    The shard's anchors are taken in order, in ranges of about `size` windows: beside the shard as it is
+    stored and 29 bytes a segment, a worker holds the columns of one range. An anchor is never divided.
+    """
 
     def merge(table: pa.Table) -> pa.Table:
-        anchor, win, ident, key, start, fresh = [], [], [], [], [], []
-        out = [(_ANSWER, p, 0, None, s, None) for kind, p, s in zip(*(table.column(c).to_pylist() for c in ("kind", "place", "seg"))) if kind == _ANSWER]
-        for kind, level, d, s, w in zip(*(table.column(c).to_pylist() for c in ("kind", "level", "docs", "seg", "win"))):
-            if kind != _RUN:
-                continue
-            doc, seg = np.frombuffer(d, _DOC), np.frombuffer(s, _SEG)
-            n = seg["n"].astype(np.int64)
-            anchor.append(np.repeat(seg["anchor"], n))
-            win.append(np.frombuffer(w, np.uint64))
-            row = np.repeat(seg["row"], n)
-            ident.append(doc["id"][row])
-            key.append(doc["key"][row])
-            start.append(np.repeat(seg["start"], n) + _flat(seg).astype(np.uint32))
-            fresh.append(np.full(len(row), level == 0))
-        if anchor:
-            anchor, win, ident, key, start, fresh = (np.concatenate(x) for x in (anchor, win, ident, key, start, fresh))
-            order = np.lexsort((start, ident, win, anchor))
-            anchor, win, ident, key, start, fresh = (x[order] for x in (anchor, win, ident, key, start, fresh))
-            head = np.ones(len(anchor), bool)
-            head[1:] = (anchor[1:] != anchor[:-1]) | (win[1:] != win[:-1])
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-            later = (ident > ident[lead]) | (start > start[lead])
-            if len(gone := np.flatnonzero(later & fresh)):
-                by = gone[np.lexsort((start[gone], key[gone]))]
-                hits = _hits(*_ranges(key[by], start[by]))
-                out += _answers(hits, shards)
-            if compact:
-                out += _compacted(anchor[head], win[head], ident[head], key[head], start[head], int(table.column("place")[0].as_py()))
+        kinds = table.column("kind").to_numpy()
+        out = [(_ANSWER, p, 0, None, s.as_py(), None) for kind, p, s in zip(kinds.tolist(), table.column("place").to_pylist(), table.column("seg")) if kind == _ANSWER]
+        own = kinds == _RUN
+        doc, docs = _column(table, "docs", own, _DOC)
+        seg, segs = _column(table, "seg", own, _SEG)
+        win, _ = _column(table, "win", own, np.uint64)
+        base = np.repeat((np.cumsum(docs) - docs).astype(np.uint32), segs)  # a run's rows count from its own first document
+        new = np.repeat(table.column("level").to_numpy()[own] == 0, segs)
+        n = seg["n"]
+        begin = np.cumsum(n, dtype=np.int64) - n
+        order = np.argsort(seg["anchor"], kind="stable")
+        anchors = seg["anchor"][order]
+        ends = np.cumsum(n[order], dtype=np.int64)
+        found = [np.zeros(0, _HIT)]
+        a = 0
+        while a < len(order):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+            b = int(np.searchsorted(anchors, anchors[b - 1], "right"))
+            pick, m = order[a:b], n[order[a:b]].astype(np.int64)
+            flat = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            row = np.repeat(base[pick] + seg["row"][pick], m)
+            part = (
+                np.repeat(anchors[a:b], m),
+                win[np.repeat(begin[pick], m) + flat],
+                doc["id"][row],
+                doc["key"][row],
+                np.repeat(seg["start"][pick], m) + flat.astype(np.uint32),
+                np.repeat(new[pick], m),
+            )
+            hits, runs = _merged(*part, compact, int(table.column("place")[0].as_py()))
+            found.append(hits)
+            out += runs
+            a = b
+        out += _answers(_joined(np.concatenate(found)), shards)
         return pa.Table.from_batches([_table(out)])
 
     return merge
 
 
+def _merged(anchor, win, ident, key, start, fresh, compact: bool, place: int) -> tuple[np.ndarray, list[tuple]]:
+    """(hits among all windows of some anchors, with compact the runs of their earliest owners)."""
+    order = np.lexsort((start, ident, win, anchor))
+    anchor, win, ident, key, start, fresh = (x[order] for x in (anchor, win, ident, key, start, fresh))
+    head = np.ones(len(anchor), bool)
+    head[1:] = (anchor[1:] != anchor[:-1]) | (win[1:] != win[:-1])
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    gone = np.flatnonzero(((ident > ident[lead]) | (start > start[lead])) & fresh)
+    by = gone[np.lexsort((start[gone], key[gone]))]
+    hits = _hits(*_ranges(key[by], start[by])) if len(by) else np.zeros(0, _HIT)
+    return hits, _compacted(anchor[head], win[head], ident[head], key[head], start[head], place) if compact else []
+
+
 def _compacted(anchor, win, ident, key, start, place) -> list[tuple]:
     """One run of earliest owners, in parts of at most 65,536 documents."""
     out = []
@@ -234,7 +288,7 @@ def _remove(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits: list[np.ndarray] = []
         known = None
-        for piece in pieces(batches, "text", 1 << 22):
+        for piece in pieces(batches, "text"):
             kind = piece.column("kind").to_numpy(zero_copy_only=False)
             for blob in piece.column("hits").filter(pa.array(kind == _ANSWER)):
                 hits.append(np.frombuffer(blob.as_py(), _HIT))

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barquarry.llm import exact_dedup, html_extraction, language_id, near_dedup, packing, sentencepiece_fst, substring_dedup, topk, toxicity, warc
+from barquarry.llm import exact_dedup, html_extraction, language_id, near_dedup, packing, sentencepiece_fst, storage, substring_dedup, topk, toxicity, warc
 from barquarry.llm.queries import vocabulary
 from barquarry.llm.words import words
 
@@ -84,6 +85,52 @@ def test_substring_dedup(spark):
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
 
 
+def shard(n_docs: int, n_words: int, kinds: int, pieces: int = 4) -> pa.Table:
+    """Runs of one shard, cut from texts of random words."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, kinds, n_words)) for _ in range(n_docs)]
+    texts = [t if i % 3 else f"{t} {texts[i // 2]}" for i, t in enumerate(texts)]
+    ids = np.array_split(np.arange(n_docs), pieces)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(own), "key": pa.array(own), "text": [texts[i] for i in own]}) for own in ids]
+    return pa.Table.from_batches(list(substring_dedup.cut_runs(1)(iter(batches))))
+
+
+def test_a_shard_merges_alike_in_one_range_of_anchors_and_in_many():
+    table = shard(60, 100, 1000)
+    said = []
+    for size in (1 << 30, 50, 1):
+        out = substring_dedup.merge_shard(1, True, size)(table)
+        rows = out.to_pylist()
+        gone = {(k, s + i) for r in rows if r["kind"] == substring_dedup._ANSWER for k, s, n in np.frombuffer(r["seg"], substring_dedup._HIT).tolist() for i in range(n)}
+        kept = sorted(x for r in rows if r["kind"] == substring_dedup._RUN for x in np.frombuffer(r["win"], np.uint64).tolist())
+        said.append((gone, kept))
+        # what replaces the old runs is merged again with them: nothing is new, all of it is found
+        again = pa.concat_tables([out.filter(pa.array([r["kind"] == substring_dedup._RUN for r in rows])), table])
+        found = [r for r in substring_dedup.merge_shard(1, True, size)(again).to_pylist() if r["kind"] == substring_dedup._RUN]
+        assert sorted(x for r in found for x in np.frombuffer(r["win"], np.uint64).tolist()) == kept
+    assert said[0] == said[1] == said[2] and len(said[0][0]) > 1000
+
+
+def test_a_worker_holds_little_more_than_the_shard_it_merges():
+    table = shard(3000, 300, 1 << 20)
+    merge = substring_dedup.merge_shard(1, False, 1 << 15)
+    tracemalloc.start()
+    try:
+        merge(table)
+        assert tracemalloc.get_traced_memory()[1] < 3 * table.nbytes  # all windows' columns at once took over 8 times the shard
+    finally:
+        tracemalloc.stop()
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    storage.small_batches(spark)
+    long = spark.range(0, 100, 1, 1).select(F.lit(1).alias("g"), F.repeat(F.lit("x"), 200_000).alias("text"))
+    sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    groups = long.groupBy("g").applyInArrow(lambda t: pa.table({"n": [b.nbytes for b in t.to_batches()]}), "n long").collect()
+    for found in (sizes, groups):  # all 20 MB came at once before
+        assert sum(r["n"] for r in found) > 20_000_000 and max(r["n"] for r in found) < 1 << 23
+
+
 def test_windows_of_one_anchor_are_told_apart_by_64_bits():
     def batch(i, text):
         return pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "key": pa.array([i], pa.int64()), "text": [text]})
